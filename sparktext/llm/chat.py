@@ -131,9 +131,9 @@ def render(messages: DataFrame) -> DataFrame:
 
     The formatted conversation is its segments, by n, one after the other.
     """
-    escaped = F.regexp_replace(F.coalesce("text", F.lit("")), r"<(\\*)\|", r"<\\\\$1|")
+    escaped = F.regexp_replace(F.coalesce("text", F.lit("")), r"<(\\*)\|", r"<\\$1|")
     role = F.coalesce("role", F.lit(""))
-    escaped_role = F.regexp_replace(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), r"<(\\*)\|", r"<\\\\$1|")
+    escaped_role = F.regexp_replace(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), r"<(\\*)\|", r"<\\$1|")
     head = F.concat(F.lit(START), escaped_role, F.lit("\n"))
     start = F.when(role == "assistant", F.length(head))
     return (
