@@ -1 +1 @@
-""""""
+"""Column expressions: words, stems, similarity, vectors."""
