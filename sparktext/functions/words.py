@@ -84,7 +84,8 @@ class Tokenizer:
         if self.stem:
             out = F.transform(out, self.stem)
         if (self.ngram_min, self.ngram_max) != (1, 1):
-            out = ngrams(out, self.ngram_min, self.ngram_max)
+            # a lambda's variable is computed once, and not again for each run
+            out = F.transform(F.array(out), lambda words: ngrams(words, self.ngram_min, self.ngram_max))[0]
         return out
 
 

@@ -1 +1 @@
-""""""
+"""Readers of documents, and stores of indexes."""
