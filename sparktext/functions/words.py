@@ -50,7 +50,7 @@ class Tokenizer:
         if self.joiners:
             joins.append("[" + "".join("\\" + c for c in self.joiners) + f"](?={start})")
         if self.unicode_words:
-            start, rest = rf"(?:(?![{_IDEOGRAPH}]){start})", rf"(?:(?![{_IDEOGRAPH}])[{LETTER_OR_DIGIT}\p{{M}}\p{{Cf}} ])"
+            start, rest = rf"(?:(?![{_IDEOGRAPH}]){start})", rf"(?:(?![{_IDEOGRAPH}])[{LETTER_OR_DIGIT}\p{{M}}\p{{Cf}}\x{{202F}}])"
             joins += [r"(?<=\p{Nd})[,;.'](?=\p{Nd})", r"(?<=\p{L})[:·.'’‘](?=\p{L})", rf"_+(?={start})"]
         word = start + rest + "*"
         if joins:
