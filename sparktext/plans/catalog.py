@@ -169,7 +169,7 @@ _WINDOWED = ("idiot clown scum", "license version")
 
 
 @register("window_bm25", f"""WITH {TOKENS}, {literal(*_WINDOWED)}, m AS (SELECT query_id, doc_id, term, pos, df, n, dl FROM q JOIN tok USING (term) JOIN v USING (term) JOIN dl USING (doc_id) CROSS JOIN s),
-    w AS (SELECT *, unnest(range(greatest((pos - 50) // 25 + 1 - (CASE WHEN (pos - 50) < 0 AND (pos - 50) % 25 <> 0 THEN 0 ELSE 0 END), 0), least(pos // 25, greatest(dl::BIGINT - 50 + 24, 0) // 25) + 1)) AS w FROM m),
+    w AS (SELECT *, unnest(range(greatest(floor((pos - 50) / 25.0::DOUBLE)::BIGINT + 1, 0), least(pos // 25, greatest(dl::BIGINT - 50 + 24, 0) // 25) + 1)) AS w FROM m),
     tfw AS (SELECT query_id, doc_id, w, term, df, n, count(*)::DOUBLE AS tf FROM w GROUP BY ALL),
     sw AS (SELECT query_id, doc_id, w, sum({IDF} * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE)) AS score FROM tfw GROUP BY ALL)
     SELECT query_id, doc_id, round(max(score), 6) AS score FROM sw GROUP BY query_id, doc_id""")
