@@ -448,3 +448,46 @@ def divide(docs: DataFrame, profile: int = 64, depth: int = 4, least: float = 0.
             answer = F.when(F.col("cluster") == c, F.array_contains("has", t).cast("int").cast("string")).otherwise(answer)
         held = held.withColumn("cluster", F.concat("cluster", answer))
     return held.select("doc_id", "cluster")
+
+
+# features
+
+
+def text_features(docs: DataFrame, text: Column, prefix: str = "n:") -> DataFrame:
+    """docs with features: the terms of a text, named apart by a prefix."""
+    return docs.withColumn("features", F.transform(text, lambda t: F.concat(F.lit(prefix), t)))
+
+
+def composite_features(*parts: Column) -> Column:
+    """Features of several sources, one after the other."""
+    return F.concat(*parts)
+
+
+def masked_features(features: Column, prefixes: tuple[str, ...]) -> Column:
+    """Without those of some sources."""
+    return F.filter(features, lambda x: ~F.exists(F.array(*map(F.lit, prefixes)), lambda p: F.startswith(x, p)))
+
+
+def unknown_features(features: Column, known: Column, name: str = "unknown") -> Column:
+    """Features outside known become one indicator."""
+    kept = F.array_intersect(features, known)
+    return F.when(F.size(kept) < F.size(F.array_distinct(features)), F.concat(kept, F.array(F.lit(name)))).otherwise(kept)
+
+
+def class_specific(labelled: DataFrame, docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """doc_id, category, score, probability by presence of each category's telling terms: the sum of ln(in / out) over those that the document has."""
+    told = telling_terms(labelled.select("category", "terms"), least).select("category", "term", F.log(F.col("inside") / F.col("outside")).alias("w"))
+    have = docs.select("doc_id", F.explode(F.array_distinct("terms")).alias("term"))
+    found = have.join(told, "term").groupBy("doc_id", "category").agg(F.sum("w").alias("w"))
+    categories = labelled.select("category").distinct()
+    # a row for each category
+    grid = docs.select("doc_id").crossJoin(F.broadcast(categories))
+    return softmax(grid.join(found, ["doc_id", "category"], "left").select("doc_id", "category", F.coalesce("w", F.lit(0.0)).alias("score")))
+
+
+def calibrated(scored: DataFrame, steps: list[tuple[float, float]]) -> DataFrame:
+    """probability of score by steps (from score, rate) of isotonic()."""
+    p = F.lit(steps[0][1] if steps else 0.5)
+    for s, rate in steps:
+        p = F.when(F.col("score") >= s, rate).otherwise(p)
+    return scored.withColumn("probability", p)

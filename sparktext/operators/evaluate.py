@@ -188,3 +188,19 @@ def analysis_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """a, b: doc_id, term, tf of two tokenizers. Terms of a document that one makes and the other doesn't, or not as often."""
     both = a.withColumnRenamed("tf", "before").join(b.withColumnRenamed("tf", "after"), ["doc_id", "term"], "full_outer")
     return both.where("coalesce(before, 0) <> coalesce(after, 0)").select("doc_id", "term", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
+
+
+def tie_summary(tie_aware: DataFrame, epsilon: float = 1e-9) -> DataFrame:
+    """config, queries, those whose order within ties matters, and the mean and widest range."""
+    width = F.col("most") - F.col("least")
+    return tie_aware.groupBy("config").agg(F.count("*").alias("queries"), F.count_if(width > epsilon).alias("undecided"), F.avg(width).alias("mean_range"), F.max(width).alias("widest"))
+
+
+def tune(configs: dict[str, DataFrame], qrels: DataFrame, k: int = 10) -> DataFrame:
+    """configs: name and scores (query_id, doc_id, score) of any scorers, BM25-VA or BM25F of a grid for instance (M13). Mean measures of each, best nDCG first."""
+    runs = None
+    for name, scored in configs.items():
+        rows = scored.select(F.lit(name).alias("config"), "query_id", "doc_id", F.round("score", 6).alias("score"))
+        runs = rows if runs is None else runs.unionByName(rows)
+    ranked = runs.withColumn("rank", F.row_number().over(Window.partitionBy(*_KEYS).orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
+    return summary(measures(ranked, qrels, k))

@@ -159,3 +159,32 @@ def text_rank_keywords(index: TextIndex, limit: int = 10) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "term", "score", "rank"])
 
     return index.terms.select("doc_id", "terms").mapInPandas(run, "doc_id long, term string, score double, rank int")
+
+
+def expanded_index(index: TextIndex, pairs: DataFrame, each: int = 3) -> TextIndex:
+    """An index whose documents also hold the terms that go with theirs, most by associated pairs, up to so many."""
+    both = pairs.select("a", "b", "n").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    have = index.terms.select("doc_id", F.explode(F.array_distinct("terms")).alias("a"))
+    found = have.join(both, "a").join(have.select("doc_id", F.col("a").alias("b")), ["doc_id", "b"], "left_anti").groupBy("doc_id", "b").agg(F.sum("n").alias("n"))
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "b"))).where(F.col("r") <= each)
+    more = best.groupBy("doc_id").agg(F.array_sort(F.collect_list("b")).alias("more"))
+    out = TextIndex(index.documents, index.id, index.text, index.tokenizer, index.fields, index.text_column)
+    terms = index.terms.join(more, "doc_id", "left").select("doc_id", F.concat("terms", F.coalesce("more", F.array().cast("array<string>"))).alias("terms"))
+    out.__dict__["terms"] = terms.withColumn("dl", F.size("terms").cast("long"))
+    return out
+
+
+def reformulated(index: TextIndex, text: str, layout: str | None = None, k: float = 60.0, limit: int = 10) -> DataFrame:
+    """doc_id, score: the query and one variant for each term that a vocabulary term corrects, fused by reciprocal ranks."""
+    from .fusion import ranked, reciprocal_rank
+    from .query import tokenize
+
+    terms = tokenize(text)
+    best = corrections(index.vocabulary, terms, 2.0, layout).where("distance > 0")
+    best = best.withColumn("r", F.row_number().over(Window.partitionBy("given").orderBy("distance", F.desc("df"), "term"))).where("r = 1")
+    fixes = {r.given: r.term for r in best.collect()}  # one for each term of the query
+    variants = [text, *(" ".join(fixes[t] if x == t else x for x in terms) for t in dict.fromkeys(terms) if t in fixes)]
+    spark = index.documents.sparkSession
+    asked = spark.createDataFrame(list(enumerate(variants)), "query_id long, text string")
+    hits = score(index, asked, bm25()).select(F.col("query_id").cast("string").alias("engine"), F.lit(0).alias("query_id"), "doc_id", "score")
+    return page(reciprocal_rank(ranked(hits), k), limit, digits=9).select("doc_id", "score", "rank")

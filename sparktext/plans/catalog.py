@@ -860,3 +860,56 @@ def _(spark, sf_dir):
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     seeds = spark.createDataFrame([(0, -7)], "query_id long, node long")
     return hops(seeds, both, 2).where("hops > 0")
+
+
+@register("cover_density", f"""WITH {TOKENS}, a AS (SELECT doc_id, pos FROM tok WHERE term = 'license'), b AS (SELECT doc_id, pos FROM tok WHERE term = 'version')
+    SELECT 0::BIGINT AS query_id, doc_id, round(sum(1.0::DOUBLE / far), 6) AS score FROM (SELECT a.doc_id, a.pos, min(abs(a.pos - b.pos)) + 1 AS far FROM a JOIN b USING (doc_id) GROUP BY ALL) GROUP BY doc_id""")
+def _(spark, sf_dir):
+    return scoring.cover_density(documents_index(spark, sf_dir), literal_queries(spark, "license version")).withColumn("score", F.round("score", 6))
+
+
+@register("reformulated_search")
+def _(spark, sf_dir):
+    return expand.reformulated(documents_index(spark, sf_dir), "lisence idoit")
+
+
+@register("expanded_index")
+def _(spark, sf_dir):
+    index = TextIndex(read(spark, sf_dir, "benchmark"), id="item_id")
+    return expand.expanded_index(index, expand.co_occurrence(index)).terms.select("doc_id", "dl")
+
+
+@register("tie_summary")
+def _(spark, sf_dir):
+    runs, qrels = _judged(spark, sf_dir)
+    return evaluate.tie_summary(evaluate.tie_aware_ndcg(runs.withColumn("score", F.round("score", 0)), qrels))
+
+
+@register("tune_bm25_va")
+def _(spark, sf_dir):
+    index, q = documents_index(spark, sf_dir), benchmark_queries(spark, sf_dir)
+    return evaluate.tune({f"k1={k} b={b}": scoring.score(index, q, scoring.bm25_va(k, b)) for k in (0.9, 1.5) for b in (0.4, 0.75)}, _judged(spark, sf_dir)[1])
+
+
+@register("class_specific")
+def _(spark, sf_dir):
+    train, held = _labelled(spark, sf_dir)
+    return classify.class_specific(train, held, 2.0).withColumn("probability", F.round("probability", 6))
+
+
+@register("held_out_split", "SELECT lang, count(*) AS documents FROM documents GROUP BY lang")
+def _(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").withColumn("out", evaluate.held_out(F.col("doc_id"), 0.25))
+    return docs.where("out").unionByName(docs.where("NOT out")).groupBy("lang").agg(F.count("*").alias("documents"))
+
+
+@register("confusion", """SELECT quality AS actual, toxic AS predicted, count(*) AS count FROM labels GROUP BY ALL""")
+def _(spark, sf_dir):
+    return evaluate.confusion(read(spark, sf_dir, "labels").select(F.col("quality").alias("actual"), F.col("toxic").alias("predicted")))
+
+
+@register("windowed_events", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS starts, event_type, count(*) AS count FROM events GROUP BY ALL")
+def _(spark, sf_dir):
+    from sparktext.streaming import incremental
+
+    return incremental.windowed_counts(read(spark, sf_dir, "events")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("starts"), "event_type", "count")
