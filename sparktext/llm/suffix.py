@@ -29,11 +29,29 @@ from .induced import sorted_suffixes
 
 PART = 12
 LAST = (1 << 63) - 1  # a null doc_id is after all others
+SEVERAL = 255
 _SPREAD = np.uint32(0x85EBCA6B)
 
 
+def _finished(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of parts from those of their first eight and last four bytes."""
+    h = first * np.uint32(0x27D4EB2F) + last
+    h ^= h >> np.uint32(15)
+    h *= _SPREAD
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE3D)
+    return h
+
+
+def _halves(w: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The same of parts given byte by byte."""
+    two = [w[i] * np.uint32(0x01000193) + w[i + 1] for i in range(0, PART, 2)]
+    four = [two[i] * np.uint32(0x9E3779B1) + two[i + 1] for i in range(0, PART // 2, 2)]
+    return four[0] * np.uint32(0xC2B2AE35) + four[1], four[2]
+
+
 def _windows(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fragments of documents that begin at starts (and end there, last of all) in data: (document, place, size, offset of the key's part, hash of the key)."""
+    """Fragments of documents that begin at starts (and end there, last of all) in data: (document, place, size, offset of the key's part, or SEVERAL, hash of the key)."""
     parts = len(data) - PART + 1
     none = np.zeros(0, np.int64)
     if len(data) < length:
@@ -42,11 +60,7 @@ def _windows(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndar
     h2 = wide[:-1] * np.uint32(0x01000193) + wide[1:]
     h4 = h2[:-2] * np.uint32(0x9E3779B1) + h2[2:]
     h8 = h4[:-4] * np.uint32(0xC2B2AE35) + h4[4:]
-    h = h8[: parts] * np.uint32(0x27D4EB2F) + h4[8 : 8 + parts]
-    h ^= h >> np.uint32(15)
-    h *= _SPREAD
-    h ^= h >> np.uint32(13)
-    h *= np.uint32(0xC2B2AE3D)
+    h = _finished(h8[:parts], h4[8 : 8 + parts])
     w, have, least = length - PART + 1, 1, h
     while have < w:
         step = min(have, w - have)
@@ -71,11 +85,17 @@ def _windows(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndar
     limit = stops[np.searchsorted(stops, first)]
     ends = np.minimum(np.concatenate([first[1:], [n]]), limit)
     key = least[first]
-    # the key's part is in every string of the fragment, so in the first: there, some part within w has its hash
-    offset = np.full(len(first), w, np.int64)
-    for o in range(w):
-        np.minimum(offset, np.where(h[first + o] == key, o, w), out=offset)
-    return np.searchsorted(starts, first, side="right") - 1, first, ends - first + length - 1, offset, key
+    # where the part with the key's hash is; SEVERAL, if it is in more than one place, or may be
+    size = ends - first + length - 1
+    offset, times = np.full(len(first), SEVERAL, np.int64), np.zeros(len(first), np.int64)
+    few = np.flatnonzero(size <= 2 * length - PART)
+    at, wanted, last = first[few], key[few], size[few] - PART
+    for o in range(2 * (length - PART) + 1):
+        hit = few[(h[np.minimum(at + o, len(h) - 1)] == wanted) & (o <= last)]
+        times[hit] += 1
+        offset[hit] = o
+    offset[times != 1] = SEVERAL
+    return np.searchsorted(starts, first, side="right") - 1, first, size, offset, key
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -99,45 +119,89 @@ class _Blob:
     """Fragments of a map task for one shard."""
 
     @staticmethod
-    def pack(ids, hashes, docs, places, sizes, offsets, raw: bytes) -> bytes:
-        parts = [_planes(ids.astype("<i8")), _planes(hashes.astype("<i8")), _planes(np.diff(docs, prepend=0).astype("<u2")), _planes(places.astype("<u4")), _planes(sizes.astype("<u4")), offsets.astype(np.uint8).tobytes(), raw]
+    def pack(ids, hashes, docs, places, sizes, offsets, codes, raw: bytes) -> bytes:
+        parts = [_planes(ids.astype("<i8")), _planes(hashes.astype("<i8")), _planes(np.diff(docs, prepend=0).astype("<u2")), _planes(places.astype("<u4")), _planes(sizes.astype("<u4")), offsets.astype(np.uint8).tobytes(), codes[offsets == SEVERAL].astype("<u4").tobytes(), raw]
         head = np.array([len(p) for p in parts], "<u4").tobytes()
         return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
 
     def __init__(self, packed: bytes):
         raw = zstandard.ZstdDecompressor().decompress(packed)
-        cuts = np.cumsum([28, *np.frombuffer(raw[:28], "<u4")]).tolist()
+        cuts = np.cumsum([32, *np.frombuffer(raw[:32], "<u4")]).tolist()
         p = [raw[a:b] for a, b in zip(cuts, cuts[1:])]
         self.ids, self.hashes = _from_planes(p[0], "<i8"), _from_planes(p[1], "<i8")
         self.docs = np.cumsum(_from_planes(p[2], "<u2").astype(np.int64))
         self.places, self.sizes = _from_planes(p[3], "<u4").astype(np.int64), _from_planes(p[4], "<u4").astype(np.int64)
-        self.offsets, self.raw = np.frombuffer(p[5], np.uint8).astype(np.int64), p[6]
+        self.offsets, self.raw = np.frombuffer(p[5], np.uint8).astype(np.int64), p[7]
         self.begins = np.cumsum(self.sizes) - self.sizes
+        self.several_codes = np.frombuffer(p[6], "<u4")
 
-    def keys(self) -> np.ndarray:
+    def codes(self) -> np.ndarray:
+        """Hashes of keys: read from the text, or as packed where the place isn't one."""
+        several = self.offsets == SEVERAL
+        at = (self.begins + self.offsets)[~several]
         data = np.frombuffer(self.raw, np.uint8)
-        at, key = self.begins + self.offsets, np.zeros(len(self.sizes), np.uint64)
-        for k in range(PART):
+        out = np.empty(len(self.sizes), np.uint32)
+        out[~several] = _finished(*_halves([data[at + k].astype(np.uint32) + np.uint32(1) for k in range(PART)]))
+        out[several] = self.several_codes
+        return out
+
+    def hashes_at(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of size bytes from each place on."""
+        data, key = np.frombuffer(self.raw, np.uint8), np.zeros(len(at), np.uint64)
+        for k in range(size):
             key = key * np.uint64(0x9E3779B97F4A7C15) + data[at + k]
         return key ^ (key >> np.uint64(29))
 
 
-def _shard(blobs: list[bytes], length: int, folder: str | None, memory: int) -> Iterator[tuple[int, int, bytes]]:
-    """(doc_id, hash of its text, spans) of what a shard's documents have from earlier ones. spans: pairs of int32."""
-    keys, ids = [], []
-    for b in map(_Blob, blobs):
-        keys.append(b.keys())
-        ids.append(b.ids[b.docs])
-    key, doc = np.concatenate(keys), np.concatenate(ids)
+def _shared(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each key is in several documents."""
     if not len(key):
-        return
+        return np.zeros(0, bool)
     order = np.argsort(key)
     k = key[order]
     starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     several = np.minimum.reduceat(doc[order], starts) != np.maximum.reduceat(doc[order], starts)
-    shared = np.zeros(len(key), bool)
-    shared[order] = np.repeat(several, np.diff(np.concatenate([starts, [len(key)]])))
-    del order, k, starts, key, keys, ids
+    out = np.zeros(len(key), bool)
+    out[order] = np.repeat(several, np.diff(np.concatenate([starts, [len(key)]])))
+    return out
+
+
+def _candidates(blobs: list[bytes], length: int) -> np.ndarray:
+    """Fragments that may share a string with another document's.
+
+    Two that do share the hash of their key. If its part is in one place of each, it is in the same place of the string, and
+    of the string's other length - 12 bytes at least half are on one side of it: so the fragments also share the part with
+    that half before it, or after it. Keys of which a fragment has the part in several places are taken as they are.
+    """
+    half = (length - PART + 1) // 2
+    side = {name: ([], [], []) for name in ("before", "after")}  # hash, document, fragment
+    keys, docs, anywhere, base = [], [], [], 0
+    for b in map(_Blob, blobs):
+        doc, several = b.ids[b.docs], b.offsets == SEVERAL
+        keys.append(b.codes())
+        docs.append(doc)
+        anywhere.append(several)
+        for name, fits, low in (("before", ~several & (b.offsets >= half), -half), ("after", ~several & (b.offsets + PART + half <= b.sizes), 0)):
+            at = np.flatnonzero(fits)
+            side[name][0].append(b.hashes_at(b.begins[at] + b.offsets[at] + low, PART + half))
+            side[name][1].append(doc[at])
+            side[name][2].append(at + base)
+        base += len(b.sizes)
+    key, doc, several = map(np.concatenate, (keys, docs, anywhere))
+    found = np.zeros(len(key), bool)
+    for h, d, at in side.values():
+        at = np.concatenate(at)
+        found[at[_shared(np.concatenate(h), np.concatenate(d))]] = True
+    if several.any():
+        same = np.isin(key, np.unique(key[several]))
+        at = np.flatnonzero(same)
+        found[at[_shared(key[at], doc[at])]] = True
+    return found
+
+
+def _shard(blobs: list[bytes], length: int, folder: str | None, memory: int) -> Iterator[tuple[int, int, bytes]]:
+    """(doc_id, hash of its text, spans) of what a shard's documents have from earlier ones. spans: pairs of int32."""
+    shared = _candidates(blobs, length)
     if not shared.any():
         return
     fragments: dict[bytes, int] = {}
@@ -207,7 +271,7 @@ def _shard(blobs: list[bytes], length: int, folder: str | None, memory: int) ->
             yield int(known[r[cut[a]]]), int(t[cut[a]]), spans[a:b].tobytes()
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 8 << 20, shard_bytes: int = 48 << 20, memory: int = 96 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 6 << 20, shard_bytes: int = 32 << 20, memory: int = 64 << 20) -> DataFrame:
     """doc_id, text_hash, spans (array of binary, of int32 pairs): bytes covered by strings of length bytes that also start in a document with a smaller doc_id.
 
     A null doc_id is larger than any other. Rows of one doc_id are told apart by the hash of their text.
@@ -230,7 +294,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 8 << 20
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             mine = order[cuts[s] : cuts[s + 1]]
             used, index = np.unique(doc[mine], return_inverse=True)
-            blob = _Blob.pack(ids[used], hashes[used], index, place[mine] - starts[doc[mine]], size[mine], offset[mine], _gather(data, place[mine], size[mine]).tobytes())
+            blob = _Blob.pack(ids[used], hashes[used], index, place[mine] - starts[doc[mine]], size[mine], offset[mine], key[mine], _gather(data, place[mine], size[mine]).tobytes())
             yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "blob": pa.array([blob], pa.binary())})
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
