@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -38,8 +40,14 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets the context drop shuffle files of finished jobs that nothing refers to; else they stay until the driver's next garbage collection."""
-    spark.sparkContext._jvm.System.gc()
+    """Lets the context drop the shuffle files of finished jobs, which otherwise stay until the driver's next garbage collection.
+
+    Python's handles of Java objects are in cycles: these go first. The cleaner works on its own; it is given a moment.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def local_path(uri: str) -> str | None:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import written
 
 
 def within_groups(members: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame | None], pd.DataFrame], schema: str, block: int = 512) -> DataFrame:
@@ -66,7 +66,6 @@ def components(links: DataFrame) -> DataFrame:
         small = small.unionByName(down.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         edges = written(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        release(edges.sparkSession)
         if now == before:
             break
         before = now
