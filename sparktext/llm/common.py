@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import platform
 import tempfile
 import time
 import uuid
@@ -55,16 +57,35 @@ def local_path(uri: str) -> str | None:
     return uri.removeprefix("file://").removeprefix("file:") if uri.startswith(("file:", "/")) else None
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df; from now on its session sends Python at most so many rows at once, since texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= rows:
+        conf.set(name, str(rows))
+    return df
+
+
+def trim() -> None:
+    """Gives memory that a task has freed back to the system: Python workers live on, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if platform.libc_ver()[0] == "glibc":
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """One output batch for each Arrow batch; long batches are cut so that few texts are in memory at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                if (out := fn(batch.slice(i, 2048))) is not None:
-                    yield out
+        try:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 2048):
+                    if (out := fn(batch.slice(i, 2048))) is not None:
+                        yield out
+        finally:
+            trim()
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def batch_of(**columns) -> pa.RecordBatch:
@@ -73,7 +94,7 @@ def batch_of(**columns) -> pa.RecordBatch:
 
 def as_docs(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the columns an operator reads: what else the table has, and under which names, doesn't matter."""
-    return docs.select(*(docs[c] for c in ("doc_id", *columns)))
+    return small_batches(docs).select(*(docs[c] for c in ("doc_id", *columns)))
 
 
 def text_or_empty(name: str = "text"):
@@ -98,7 +119,7 @@ class WordHashes(dict):
     """64-bit hashes of words (bytes), kept for those seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -183,8 +183,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.25) ->
                 hit = hit[(rb[hit] == ra[k]).sum(1) >= (percent / 100 - slack) * REGISTERS]
             if len(hit):
                 hit = hit[estimate(ra[k][None, :], rb[hit], na[k : k + 1], nb[hit]) >= percent / 100 - slack]
-            out += [(min(ids[k], others[x]), max(ids[k], others[x])) for x in hit]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            if len(hit):
+                out.append(np.stack([np.minimum(others[hit], ids[k]), np.maximum(others[hit], ids[k])], 1))
+        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
 
     across = written(within_groups(members, compare, "a long, b long").distinct())
     tried = across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import trim, written
 
 
 def within_groups(members: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFrame | None], pd.DataFrame], schema: str, block: int = 512) -> DataFrame:
@@ -38,11 +38,14 @@ def within_groups(members: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFr
             yield pd.concat(kept)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in groups(f for f in frames if len(f)):
-            i, j = g["i"].iloc[0], g["j"].iloc[0]
-            out = compare(g, None) if i == j else compare(g[g["mine"] == i], g[g["mine"] == j])
-            if len(out):
-                yield out
+        try:
+            for g in groups(f for f in frames if len(f)):
+                i, j = g["i"].iloc[0], g["j"].iloc[0]
+                out = compare(g, None) if i == j else compare(g[g["mine"] == i], g[g["mine"] == j])
+                if len(out):
+                    yield out
+        finally:
+            trim()
 
     return tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInPandas(run, schema)
 

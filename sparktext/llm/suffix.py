@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_docs, local_path, release, shared_dir, written
+from .common import as_docs, local_path, release, shared_dir, trim, written
 from .induced import sorted_suffixes
 
 PART = 12
@@ -312,6 +312,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 6 << 20
                     held += len(raw)
         if rows:
             yield from pack(rows)
+        rows = []
+        trim()
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = os.path.join(shared, f"sort-{uuid.uuid4().hex}") if shared else None
@@ -331,6 +333,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 6 << 20
             finally:
                 if folder:
                     shutil.rmtree(folder, ignore_errors=True)
+                trim()
 
         at, blobs = None, []
         for batch in batches:

@@ -82,7 +82,7 @@ class Scorer:
         for w in tokens(text):
             f = word.get(w)
             if f is None:
-                if len(word) > 300_000:
+                if len(word) > 100_000:
                     word.clear()
                 f = word[w] = tuple(features[x] for x in features_of_word(w) if x in features)
             if f:
@@ -132,7 +132,7 @@ class Scorer:
         if not counts:
             return self.m.base, [], []
         if counts not in self.seen:
-            if len(self.seen) > 20_000:
+            if len(self.seen) > 5_000:
                 self.seen.clear()
             rows, cosines = self.nearest(counts)
             self.seen[counts] = (calibrated(self.m.curve, self.vote(rows, cosines)), self.m.ids[rows][:3].tolist(), cosines[:3].tolist())
