@@ -236,26 +236,60 @@ class DecisionTree:
         y, w = np.array([place[x] for x in labels]), np.array(weights or [1.0] * len(labels))
         names = sorted({f for x in items for f in x})
         column = {f: i for i, f in enumerate(names)}
-        x = np.full((len(items), len(names)), np.nan)
-        for i, item in enumerate(items):
-            for f, v in item.items():
-                x[i, column[f]] = v
+        # what each item has, as places of names; values are kept for numeric features alone
+        has = [np.array(sorted(column[f] for f in item), np.int64) for item in items]
+        starts = np.concatenate([[0], np.cumsum([len(h) for h in has])]).astype(np.int64)
+        flat = np.concatenate(has) if has else np.zeros(0, np.int64)
+        asked = np.array([f not in numeric for f in names], bool)
+        price = np.array([self.costs.get(f, 1.0) for f in names])
+        x = {f: np.array([item.get(f, np.nan) for item in items], np.float64) for f in names if f in numeric}
         k = len(self.classes)
 
+        def impurities(have: np.ndarray) -> np.ndarray:
+            total = have.sum(1, keepdims=True)
+            p = np.divide(have, total, out=np.zeros_like(have), where=total > 0)
+            if self.criterion == "gini":
+                return np.where(total[:, 0] > 0, 1 - (p * p).sum(1), 1.0)
+            return -(p * np.log2(p, out=np.zeros_like(p), where=p > 0)).sum(1)
+
+        def best_presence(rows: np.ndarray, have: np.ndarray, before: float):
+            """The best question whether a feature is there: all features of the rows at once, from what the rows have."""
+            sizes = starts[rows + 1] - starts[rows]
+            owner = np.repeat(np.arange(len(rows)), sizes)
+            places = flat[np.arange(sizes.sum()) + np.repeat(starts[rows] - (np.cumsum(sizes) - sizes), sizes)]
+            found, at = np.unique(places, return_inverse=True)
+            n = np.bincount(at, minlength=len(found))
+            a = np.bincount(at * k + y[rows][owner], w[rows][owner], len(found) * k).reshape(-1, k)
+            fit = np.flatnonzero((np.minimum(n, len(rows) - n) >= self.min_leaf) & asked[found])
+            if not len(fit):
+                return None
+            a, b = a[fit], have - a[fit]
+            gain = before - (a.sum(1) * impurities(a) + b.sum(1) * impurities(b)) / have.sum()
+            if self.criterion == "gain_ratio":
+                sides = np.stack([a.sum(1), b.sum(1)], 1)
+                p = sides / sides.sum(1, keepdims=True)
+                gain = gain / np.maximum(-(p * np.log2(p, out=np.zeros_like(p), where=p > 0)).sum(1), 1e-12)
+            gain = gain / price[found[fit]]
+            i = int(np.argmax(np.round(gain, 12)))  # the first of equals, by name
+            if gain[i] <= 1e-12:
+                return None
+            yes = np.zeros(len(rows), bool)
+            yes[owner[at == fit[i]]] = True
+            name = names[found[fit[i]]]
+            return (-round(float(gain[i]), 12), name, False, 0.0), name, None, yes
+
         def grow(rows: np.ndarray, left: int) -> Node:
             have = np.bincount(y[rows], w[rows], k)
             node = Node({c: float(have[i]) for i, c in enumerate(self.classes)})
             if not left or len(rows) < 2 * self.min_leaf or (have > 0).sum() < 2:
                 return node
-            before, choice = _impurity(have, self.criterion == "gini"), None
-            for f, name in enumerate(names):
-                v = x[rows, f]
-                cuts: list[float | None] = [None]
-                if name in numeric:
-                    values = np.unique(v[~np.isnan(v)])
-                    cuts = list(values[np.linspace(0, len(values) - 1, min(len(values), self.most_thresholds)).astype(int)]) if len(values) else []
-                for cut in cuts:
-                    yes = ~np.isnan(v) if cut is None else np.nan_to_num(v, nan=-np.inf) >= cut
+            before = _impurity(have, self.criterion == "gini")
+            choice = best_presence(rows, have, before)
+            for name, column_ in x.items():
+                v = column_[rows]
+                values = np.unique(v[~np.isnan(v)])
+                for cut in values[np.linspace(0, len(values) - 1, min(len(values), self.most_thresholds)).astype(int)] if len(values) else []:
+                    yes = np.nan_to_num(v, nan=-np.inf) >= cut
                     if min(yes.sum(), (~yes).sum()) < self.min_leaf:
                         continue
                     a = np.bincount(y[rows[yes]], w[rows[yes]], k)
@@ -264,7 +298,7 @@ class DecisionTree:
                     if self.criterion == "gain_ratio":
                         gain /= max(_impurity(np.array([a.sum(), b.sum()]), False), 1e-12)
                     gain /= self.costs.get(name, 1.0)
-                    order = (-round(gain, 12), name, cut is not None, cut or 0.0)
+                    order = (-round(gain, 12), name, True, cut)
                     if gain > 1e-12 and (choice is None or order < choice[0]):
                         choice = (order, name, cut, yes)
             if choice:
@@ -387,7 +421,12 @@ class LinearModel:
 
 def sample(labelled: DataFrame, most: int = 2000) -> list:
     """A bounded sample of labelled rows, by a hash of doc_id: what the models above are trained on."""
-    return labelled.where(F.col("category").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+    known = labelled.where(F.col("category").isNotNull())
+    h = F.xxhash64("doc_id")
+    # numbers first, and rows for the chosen ones alone: each task would send the driver its own best rows, with all their terms
+    chosen = sorted({r.h for r in known.select(h.alias("h"), "doc_id").orderBy("h", "doc_id").limit(most).collect()})
+    rows = known.where(h.isin(chosen)).withColumn("_h", h).collect() if chosen else []
+    return sorted(rows, key=lambda r: (r["_h"], r["doc_id"] is not None, r["doc_id"] or 0))[:most]
 
 
 def apply_model(docs: DataFrame, model: DecisionTree | RandomForest | LinearModel) -> DataFrame:

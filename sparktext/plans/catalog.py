@@ -821,15 +821,14 @@ def _model(name: str, make: Callable):
     @register(name)
     def run(spark, sf_dir):
         train, held = _labelled(spark, sf_dir)
-        short = F.slice("terms", 1, 60)  # the feature of this query: the openings of documents
-        rows = classify.sample(train.withColumn("terms", short), 400)
+        rows = classify.sample(train)
         model = make().train([classify.term_counts(r.terms) for r in rows], [r.category for r in rows])
-        return classify.apply_model(held.withColumn("terms", short), model)
+        return classify.apply_model(held, model)
 
 
-_model("decision_tree", lambda: classify.DecisionTree(depth=5))
-_model("random_forest", lambda: classify.RandomForest(trees=8, depth=6))
-_model("linear_classifier", lambda: classify.LinearModel(epochs=6))
+_model("decision_tree", classify.DecisionTree)
+_model("random_forest", classify.RandomForest)
+_model("linear_classifier", classify.LinearModel)
 
 
 @register("divided_corpus")
