@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,7 +76,7 @@ def suffix_automaton(classes: list[int]) -> list[dict[int, int]]:
 
 def _letters() -> np.ndarray:
     """1 for each code point that is neither a letter nor a mark, else 0."""
-    return np.fromiter((unicodedata.category(chr(c))[0] not in "LM" for c in range(0x110000)), np.uint8, 0x110000)
+    return np.fromiter((unicodedata.category(chr(c))[0] not in "LM" for c in range(0x110000)), np.uint32, 0x110000)
 
 
 @dataclass(frozen=True)
@@ -90,34 +91,46 @@ class Parser:
 
     _kept: dict[LanguageModel, Parser] = {}
 
-    def __init__(self, model: LanguageModel, most_classes: int = 126):
-        counts: dict[str, int] = {}
-        for _, texts in model.texts:
-            for c in "".join(texts).lower():
-                counts[c] = counts.get(c, 0) + 1
-        kept = [c for c in sorted(counts, key=lambda c: (-counts[c], c)) if unicodedata.category(c)[0] in "LM"][:most_classes]
+    def __init__(self, model: LanguageModel, dense: int = 126):
+        """Every letter of the labelled text has a class. Each language numbers its own letters, most frequent first: the
+        transitions by its first dense ones are a table, those by its others (of large alphabets) are sorted keys."""
+        counts = [Counter("".join(texts).lower()) for _, texts in model.texts]
+        kept = sorted(c for c in set().union(*counts) if unicodedata.category(c)[0] in "LM")
         self.langs = [lang for lang, _ in model.texts]
-        self.width = width = len(kept) + 3
-        self.pad = pad = width - 1
+        self.pad = len(kept) + 2
         self.lut = _letters()
         for i, c in enumerate(kept):
             self.lut[ord(c)] = i + 2
         self.tables, self.bits = [], []
-        for _, texts in model.texts:
-            classes = [c for t in texts for c in [*self.classes(t).tolist(), 0]]
+        for own, (_, texts) in zip(counts, model.texts):
+            mine = sorted((c for c in own if c in set(kept)), key=lambda c: (-own[c], c))
+            local = np.zeros(self.pad + 1, np.int32)  # 0: a letter that this language's text doesn't have
+            local[1] = 1
+            for i, c in enumerate(mine):
+                local[self.lut[ord(c)]] = i + 2
+            first = min(len(mine), dense) + 2  # the first class that isn't in the table; there, first stands for the padding
+            width = first + 1
+            local[local >= first] += 1
+            local[self.pad] = first
+            classes = [c for t in texts for c in [*local[self.classes(t)].tolist(), 0]]
             nxt = suffix_automaton(classes)
             to = np.full((len(nxt), width), -1, np.int64)
+            rare = {}
             for s, out in enumerate(nxt):
                 for c, t in out.items():
-                    to[s, c] = t
+                    if c < first:
+                        to[s, c] = t
+                    else:
+                        rare[s * (len(mine) + 4) + c] = t
             ends = to < 0  # the phrase is over; the character begins the next one, or is one itself
             root = np.where(to[0] < 0, 0, to[0])
             more = ends * 1 + (ends & (to[0] < 0)[None, :])
             more[0] = to[0] < 0
             state = np.where(ends, root[None, :], to)
-            state[:, pad], more[:, pad] = 0, 1
-            more[0, pad] = 0
-            self.tables.append((state * width + (more << 28)).astype(np.int32).ravel())
+            state[:, first], more[:, first] = 0, 1
+            more[0, first] = 0
+            keys = np.array(sorted(rare), np.int64)
+            self.tables.append((local, width, (state * width + (more << 28)).astype(np.int32).ravel(), len(mine) + 4, keys, np.array([rare[x] for x in keys.tolist()], np.int64)))
             self.bits.append(np.log2(max(2, len(classes))))
 
     @classmethod
@@ -127,7 +140,7 @@ class Parser:
         return cls._kept[model]
 
     def classes(self, text: str) -> np.ndarray:
-        """A class for each letter (0: of none that was seen), and 1 for each run of other characters."""
+        """A class for each letter (0: one that no labelled text has), and 1 for each run of other characters."""
         found = self.lut[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
         keep = found != 1
         keep[1:] |= keep[:-1]
@@ -137,7 +150,7 @@ class Parser:
         """Phrases of each text (rows) against each language (columns)."""
         arrays = [self.classes(t) for t in texts]
         pieces = np.array([-(-len(a) // STRETCH) for a in arrays], np.int64)
-        lanes = np.full((int(pieces.sum()), STRETCH + 1), self.pad, np.uint8)
+        lanes = np.full((int(pieces.sum()), STRETCH + 1), self.pad, np.uint32)
         at = 0
         for a, n in zip(arrays, pieces):
             if whole := len(a) // STRETCH:
@@ -148,13 +161,22 @@ class Parser:
         steps = np.ascontiguousarray(lanes.T)
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         owner = np.repeat(np.arange(len(texts)), pieces)
-        for k, table in enumerate(self.tables):
+        for k, (local, width, table, letters, keys, targets) in enumerate(self.tables):
             at = np.zeros(len(lanes), np.int32)
             n = np.zeros(len(lanes), np.int32)
-            for c in steps:
+            for c in local.take(steps):
+                rare = np.flatnonzero(c >= width) if len(keys) else ()
+                if len(rare):
+                    key, c = at[rare] // width * np.int64(letters) + c[rare], np.where(c < width, c, 0)
                 v = table.take(at + c)
                 n += v >> 28
                 at = v & 0xFFFFFFF
+                if len(rare):  # as in the table: on along the phrase, or a phrase is over and the letter, which the root knows, begins the next
+                    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    on = keys[place] == key
+                    start = np.searchsorted(keys, key % letters)
+                    n[rare] += np.where(on, 0, 1) - (v[rare] >> 28)
+                    at[rare] = np.where(on, targets[place], targets[start]) * width
             out[:, k] = np.bincount(owner, n, len(texts)) if len(lanes) else 0
         return out
 
@@ -171,8 +193,9 @@ class Parser:
 
 
 def fit(train: DataFrame, chars_per_lang: int = 40_000, docs_per_lang: int = 300, most_langs: int = 200) -> LanguageModel:
-    """Labelled text of each lang value: whole documents in the order of a hash of their ids, up to docs_per_lang
-    documents and chars_per_lang characters; a longer document is passed over. These bounds, and most_langs (the most
+    """Labelled text of each lang value: documents in the order of a hash of their ids, up to docs_per_lang documents and
+    chars_per_lang characters. Of a document longer than a quarter of these, a stretch of that length teaches, which begins
+    at a place that the hash picks; what doesn't fit any more is passed over. These bounds, and most_langs (the most
     frequent), bound what the driver and the executors hold. Rows with a null text, lang or id teach nothing.
     """
     known = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
@@ -182,8 +205,10 @@ def fit(train: DataFrame, chars_per_lang: int = 40_000, docs_per_lang: int = 300
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     chosen = known.where(F.col("lang").isin(langs)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= docs_per_lang)
     ids = [r.doc_id for r in chosen.select("doc_id").collect()]
-    short = F.col("text").isNotNull() & (F.length("text") <= chars_per_lang // 4)
-    rows = known.where(F.col("doc_id").isin(ids) & F.col("lang").isin(langs) & short).select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", "text").collect()
+    most, h = chars_per_lang // 4, F.xxhash64("doc_id")
+    start = F.when(F.length("text") > most, F.pmod(h, F.length("text") - most + 1)).otherwise(0).cast("int") + 1
+    stretch = F.substring("text", start, F.lit(most)).alias("text")
+    rows = known.where(F.col("doc_id").isin(ids) & F.col("lang").isin(langs)).select("lang", h.alias("h"), "doc_id", stretch).collect()
     texts: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h, r.doc_id, r.text)):
         kept = texts.setdefault(r.lang, [])

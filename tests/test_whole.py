@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
+from sparktext.llm import langid
 from sparktext.plans import catalog
 
 
@@ -15,3 +18,35 @@ def test_classifiers_read_whole_documents(spark, tmp_path, name):
     found = catalog.QUERIES[name](spark, str(tmp_path)).collect()
     said = {r.doc_id: r.category for r in found if r.probability > 0.5}
     assert said == want
+
+
+# language identification
+
+
+def _naive_phrases(text: str, own: str) -> int:
+    n, i = 0, 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[i : j + 1] in own:
+            j += 1
+        i, n = max(j, i + 1), n + 1
+    return n
+
+
+def test_phrases_over_large_alphabets():
+    rng = random.Random(4)
+    han = [chr(0x4E00 + i) for i in range(700)]
+    texts = {"ja": "".join(rng.choices(han[300:], k=900)), "zh": "".join(rng.choices(han[:500], k=900)), "el": "".join(rng.choices("αβγδεζηθικλ", k=300))}
+    parser = langid.Parser(langid.LanguageModel(tuple((lang, (t,)) for lang, t in texts.items())))
+    for _ in range(40):
+        asked = "".join(rng.choices(han + list("αβγδabc"), k=60)) + texts["zh"][(a := rng.randrange(800)) : a + 40] + texts["ja"][a : a + 30]
+        assert parser.phrases([asked])[0].tolist() == [_naive_phrases(asked, t) for t in texts.values()]
+    asked = ["".join(texts["zh"][200:240]), "".join(texts["ja"][200:240])]
+    assert parser.predict(asked)[0] == ["zh", "ja"]
+
+
+def test_languages_of_long_documents_alone_have_models(spark):
+    rows = [(i, f"{word} " * 5000, lang) for i, (word, lang) in enumerate([("the cat", "en"), ("der hund", "de"), ("le chien", "fr")])]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [lang for lang, _ in model.texts] == ["de", "en", "fr"]
+    assert all(sum(map(len, t)) == 10_000 for _, t in model.texts)
