@@ -8,7 +8,9 @@ an inverted index; where a document shares one, the words around it are aligned
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ _B = U64(0x9E3779B97F4A7C15)
 _B2, _B4 = (U64(pow(int(_B), n, 1 << 64)) for n in (2, 4))
 
 #: (license, notice): wordings by which works name their license.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+NOTICES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT license."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -43,6 +45,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
 
+#: (license, text): the terms themselves, from files named license[.variant].txt, without what follows the end of the terms.
+TEXTS: tuple[tuple[str, str], ...] = tuple((re.sub(r"(\.[23])?\.txt$", "", p.name) if p.name.startswith("BSD") else p.stem, p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt")))
+TEMPLATES = NOTICES + TEXTS
+
 
 def folded(text: str | None) -> np.ndarray:
     """Bytes in lower case; all but letters, digits and other scripts are spaces."""
@@ -73,20 +79,29 @@ def fingerprints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[where], at[where]
 
 
-def align(template: Sequence[bytes], words: Sequence[bytes], shift: int) -> tuple[int, int, int]:
-    """Most words of the template that are, in order, among words: (matched, first, last place). The i-th may be at i + shift, give or take BAND."""
+def align(template: Sequence[bytes], words: Sequence[bytes], shift: int, lo: int = 0, hi: int | None = None) -> tuple[int, int, int]:
+    """Most words of the template that are, in order, among words[lo:hi]: (matched, first, last place). The i-th may be at i + shift, give or take BAND.
+
+    Of equals, the one that ends first, and of these the one that begins last.
+    """
     width = 2 * BAND + 1
+    hi = len(words) if hi is None else hi
     best = [(0, -1, -1)] * (width + 1)
     for i, t in enumerate(template):
         row = [(0, -1, -1)] * (width + 1)
         left = (0, -1, -1)
+        at = i + shift - BAND
         for d in range(width):
-            j = i + shift + d - BAND
-            cell = max(left, best[d + 1], key=lambda c: c[0])
-            if 0 <= j < len(words) and words[j] == t:
+            cell = best[d + 1]
+            if left[0] > cell[0] or left[0] == cell[0] and left[1] >= cell[1]:
+                cell = left
+            j = at + d
+            if lo <= j < hi and words[j] == t:
                 n, first, _ = best[d]
-                if n + 1 > cell[0]:
-                    cell = (n + 1, j if first < 0 else first, j)
+                if first < 0:
+                    first = j
+                if n + 1 > cell[0] or n + 1 == cell[0] and first > cell[1]:
+                    cell = (n + 1, first, j)
             row[d] = left = cell
         best = row
     return max(best, key=lambda c: c[0])
@@ -105,6 +120,7 @@ class Scanner:
             hashes, at = fingerprints(data)
             for h, a in zip(hashes.tolist(), at.tolist()):
                 index.setdefault(h, []).append((k, int(np.searchsorted(starts, a, side="right")) - 1))
+        self.counts = [Counter(w) for w in self.words]
         self.index, self.hashes = index, np.array(sorted(index), np.uint64)
 
     @classmethod
@@ -113,10 +129,25 @@ class Scanner:
             cls._kept[templates] = cls(templates)
         return cls._kept[templates]
 
+    def passages(self, k: int, words: list[bytes], shift: int, least: float) -> list[tuple[int, int, int]]:
+        """(matched, first, last place) of all passages in the band that don't overlap, best first."""
+        template, found = self.words[k], []
+        open_ = [(max(0, shift - BAND), min(len(words), shift + len(template) + BAND))]
+        while open_:
+            lo, hi = open_.pop()
+            # two bounds of what can match: the words there, and those of them that the template has
+            if not template or hi <= lo or (hi - lo) / len(template) < least or (self.counts[k] & Counter(words[lo:hi])).total() / len(template) < least:
+                continue
+            matched, first, last = align(template, words, shift, lo, hi)
+            if matched and matched / len(template) >= least:
+                found.append((matched, first, last))
+                open_ += [(lo, first), (last + 1, hi)]
+        return found
+
     def scan(self, text: str | None, least: float) -> list[tuple[str, float, int, int]]:
         data = folded(text)
         hashes, at = fingerprints(data)
-        hit = np.flatnonzero(np.isin(hashes, self.hashes)) if len(hashes) else hashes
+        hit = np.flatnonzero(self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] == hashes) if len(self.hashes) else hashes[:0]
         if not len(hit):
             return []
         spans = [m.span() for m in _WORD.finditer(data.tobytes())]
@@ -126,16 +157,13 @@ class Scanner:
         for i in hit.tolist():
             place = max(0, int(np.searchsorted(starts, at[i], side="right")) - 1)
             for k, inside in self.index[int(hashes[i])]:
-                if (k, (place - inside) // (BAND // 2)) in tried:
+                if (k, place - inside) in tried:
                     continue
-                tried.add((k, (place - inside) // (BAND // 2)))
-                matched, first, last = align(self.words[k], words, place - inside)
-                coverage = matched / len(self.words[k])
-                if matched and coverage >= least:
-                    out.add((self.names[k], coverage, spans[first][0], spans[last][1]))
-        # of passages of a license that overlap, the best
+                tried.add((k, place - inside))
+                out.update((self.names[k], matched, matched / len(self.words[k]), spans[a][0], spans[b][1]) for matched, a, b in self.passages(k, words, place - inside, least))
+        # of passages of a license that overlap, the one with most words
         kept: list[tuple[str, float, int, int]] = []
-        for name, coverage, a, b in sorted(out, key=lambda x: (-x[1], x[2] - x[3], x)):
+        for name, _, coverage, a, b in sorted(out, key=lambda x: (-x[1], -x[2], x[3] - x[4], x)):
             if not any(n == name and a < y and x < b for n, _, x, y in kept):
                 kept.append((name, coverage, a, b))
         return sorted(kept, key=lambda x: (x[2], x[0]))

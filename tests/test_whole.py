@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from sparktext.llm import langid
+from sparktext.llm import langid, licenses
 from sparktext.plans import catalog
 
 
@@ -50,3 +50,26 @@ def test_languages_of_long_documents_alone_have_models(spark):
     model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert [lang for lang, _ in model.texts] == ["de", "en", "fr"]
     assert all(sum(map(len, t)) == 10_000 for _, t in model.texts)
+
+
+# licenses
+
+
+def test_full_license_texts_are_found(spark):
+    texts = [t for _, t in licenses.TEXTS]
+    mangled = [" ".join(w for i, w in enumerate(t.split()) if i % 40) for t in texts]  # a word in forty is gone: the drift leaves the band of long texts
+    frame = spark.createDataFrame([(i, f"x = 1\n# {t}\ny = 2") for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = licenses.scan(frame).collect()
+    for i, (name, text) in enumerate(licenses.TEXTS):
+        spans = [(r.coverage, r.stop - r.start) for r in rows if r.doc_id == i and r.license == name]
+        assert any(c == 1.0 and n > 0.97 * len(text.encode()) for c, n in spans), name
+    short = licenses.Scanner.of(licenses.TEMPLATES).scan(mangled[[n for n, _ in licenses.TEXTS].index("MIT")], 0.85)
+    assert [(n, c > 0.95) for n, c, _, _ in short] == [("MIT", True)]
+
+
+@pytest.mark.parametrize("notice", ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3."])
+def test_every_copy_of_a_repeated_notice_is_found(notice):
+    for copies in (2, 3, 7):
+        found = licenses.Scanner.of(licenses.TEMPLATES).scan("some text " + f"{notice} " * copies + "more text", 0.85)
+        n = len(notice) + 1
+        assert [(a, b) for _, _, a, b in found] == [(10 + i * n, 10 + i * n + len(notice) - 1) for i in range(copies)]
