@@ -73,3 +73,24 @@ def test_every_copy_of_a_repeated_notice_is_found(notice):
         found = licenses.Scanner.of(licenses.TEMPLATES).scan("some text " + f"{notice} " * copies + "more text", 0.85)
         n = len(notice) + 1
         assert [(a, b) for _, _, a, b in found] == [(10 + i * n, 10 + i * n + len(notice) - 1) for i in range(copies)]
+
+
+# pipeline
+
+
+def test_pipeline_takes_near_copies_from_0_8_on(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    rows = []
+    for k in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        rows.append((2 * k, " ".join(words)))
+        for i in range(rng.choice([1, 3, 4, 5, 6])):  # runs of five with it: five of 196 for each edited word
+            words[20 + 30 * i] = f"x{k}"
+        rows.append((2 * k + 1, " ".join(words)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(196)} for i, t in rows}
+    likeness = [100 * len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(30)]
+    assert any(80 <= x < 85 for x in likeness) and any(x < 80 for x in likeness)
+    kept = {r.doc_id for r in corpus_pipeline.without_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert kept == {i for i, _ in rows if i % 2 == 0 or likeness[i // 2] < 80}
