@@ -119,6 +119,12 @@ def _(spark, sf_dir):
     return rows.select("doc_id", "term", "tf", F.array_join(F.col("p").cast("array<string>"), ",").alias("positions"))
 
 
+@register("all_term_positions")
+def _(spark, sf_dir):
+    rows = documents_index(spark, sf_dir).tokens.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("p"))
+    return rows.select("doc_id", "term", "tf", F.array_join(F.col("p").cast("array<string>"), ",").alias("positions"))
+
+
 @register("candidate_documents", f"WITH {TOKENS} SELECT DISTINCT doc_id FROM p WHERE term IN ('loser', 'trash', 'license')")
 def _(spark, sf_dir):
     return documents_index(spark, sf_dir).candidates(["loser", "trash", "license"])
@@ -580,9 +586,14 @@ def _(spark, sf_dir):
     return expand.co_occurrence(index).withColumn("pmi", F.round("pmi", 6))
 
 
+@register("co_occurrence_of_documents")
+def _(spark, sf_dir):
+    return expand.co_occurrence(documents_index(spark, sf_dir)).withColumn("pmi", F.round("pmi", 6))
+
+
 @register("expanded_terms")
 def _(spark, sf_dir):
-    index = TextIndex(read(spark, sf_dir, "benchmark"), id="item_id")
+    index = documents_index(spark, sf_dir)
     pairs = expand.co_occurrence(index)
     return expand.expansions(pairs, scoring.query_terms(index, literal_queries(spark, "the erth with", "ing heon")).select("query_id", "term")).withColumn("weight", F.round("weight", 6))
 
@@ -605,6 +616,12 @@ def _(spark, sf_dir):
     return expand.more_like_this(documents_index(spark, sf_dir), ids).select("query_id", "doc_id", "score")
 
 
+@register("more_like_every_fiftieth")
+def _(spark, sf_dir):
+    ids = read(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"))
+    return expand.more_like_this(documents_index(spark, sf_dir), ids).select("query_id", "doc_id", "score")
+
+
 @register("feedback_terms")
 def _(spark, sf_dir):
     index, q = documents_index(spark, sf_dir), literal_queries(spark, "license version", "idiot clown")
@@ -620,6 +637,11 @@ def _(spark, sf_dir):
     return index.vocabulary.where("cf > 3")
 
 
+@register("all_ngrams")
+def _(spark, sf_dir):
+    return TextIndex(read(spark, sf_dir, "documents"), tokenizer=Tokenizer(stop_words=("the", "of", "and", "to", "in"), ngram_max=2)).vocabulary
+
+
 @register("stemmed_vocabulary")
 def _(spark, sf_dir):
     from sparktext.functions.stemmers import stemmed
@@ -736,6 +758,11 @@ def _(spark, sf_dir):
     return classify.NaiveBayes.train(_labelled(spark, sf_dir)[0]).terms.where("c > 5")
 
 
+@register("all_naive_bayes_counts")
+def _(spark, sf_dir):
+    return classify.NaiveBayes.train(_labelled(spark, sf_dir)[0]).terms
+
+
 def _bayes_sql(term: str, prior: str, terms: str) -> str:
     return f"""{_FOLDS}, h AS (SELECT doc_id FROM d WHERE held), x AS (SELECT doc_id, term, tf FROM p JOIN h USING (doc_id) {terms}),
     sc AS (SELECT h.doc_id, cl.category, {prior} + coalesce(sum(tf * {term}), 0) AS score FROM h CROSS JOIN cl JOIN tt USING (category) CROSS JOIN vs CROSS JOIN al LEFT JOIN x ON x.doc_id = h.doc_id LEFT JOIN tr ON tr.term = x.term AND tr.category = cl.category LEFT JOIN (SELECT term, sum(c) AS g FROM tr GROUP BY term) gg ON gg.term = x.term GROUP BY h.doc_id, cl.category, docs, alldocs)
@@ -874,7 +901,7 @@ def _(spark, sf_dir):
 
 @register("expanded_index")
 def _(spark, sf_dir):
-    index = TextIndex(read(spark, sf_dir, "benchmark"), id="item_id")
+    index = documents_index(spark, sf_dir)
     return expand.expanded_index(index, expand.co_occurrence(index)).terms.select("doc_id", "dl")
 
 
