@@ -12,13 +12,11 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, as_docs, batch_of, map_batches, mix64, words_of, written
-from .pairs import within_groups
 
 BITS = 128
 _hashes = WordHashes()
@@ -60,46 +58,104 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_batches(as_docs(docs, "text"), run, "doc_id long, fingerprint string")
 
 
-def near(prints: DataFrame, radius: int = 6) -> tuple[DataFrame, DataFrame]:
-    """All pairs of different fingerprints at most radius bits apart, and who has them.
-
-    (pairs: a, b, distance between representatives, a < b; members: doc_id, representative, which is the least doc_id with
-    that fingerprint). The bits are cut into radius + 2 blocks; two near fingerprints are equal in at least two of them, so
-    each pair of blocks, permuted to the front, keys a table in which they meet. Null ids are left out.
-    """
-    known = prints.where(F.col("doc_id").isNotNull() & F.col("fingerprint").isNotNull())
-    first = known.groupBy("fingerprint").agg(F.min("doc_id").alias("representative"))
-    members = known.join(first, "fingerprint").select("doc_id", "representative")
+def _tables(radius: int) -> list[tuple[int, int]]:
+    """(mask of the high, of the low 64 bits) of each table's key: a pair of the radius + 2 blocks."""
     n = radius + 2
     cuts = [round(i * BITS / n) for i in range(n + 1)]
-    pairs = list(combinations(range(n), 2))
-
-    def tables(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, values, keys = [], [], []
-        for i, text in zip(*(c.to_pylist() for c in batch.columns)):
-            fp = int(text, 16)
-            blocks = [(fp >> cuts[k]) & ((1 << cuts[k + 1] - cuts[k]) - 1) for k in range(n)]
-            for t, (x, y) in enumerate(pairs):
-                ids.append(i)
-                values.append(text)
-                keys.append(hash((t, blocks[x], blocks[y])))  # of numbers: the same in every process
-        return batch_of(key=pa.array(keys, pa.int64()), id=pa.array(ids, pa.int64()), fingerprint=pa.array(values, pa.string()))
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame | None) -> pd.DataFrame:
-        def halves(frame):
-            return np.array([(int(x[:16], 16), int(x[16:], 16)) for x in frame["fingerprint"]], np.uint64).reshape(-1, 2)
-
-        left, right = halves(a), halves(a if b is None else b)
-        ids, others = a["id"].to_numpy(), (a if b is None else b)["id"].to_numpy()
-        out = []
-        for k in range(len(left)):
-            apart = np.bitwise_count(right ^ left[k]).sum(1)
-            hit = np.flatnonzero(apart <= radius)
-            out += [(min(ids[k], others[x]), max(ids[k], others[x]), int(apart[x])) for x in hit if ids[k] != others[x] and (b is not None or x > k)]
-        return pd.DataFrame(out, columns=["a", "b", "distance"])
-
-    keyed = map_batches(first.select("representative", "fingerprint"), tables, "key long, id long, fingerprint string")
-    return within_groups(keyed, compare, "a long, b long, distance int").distinct(), members
+    blocks = [(1 << b) - (1 << a) for a, b in zip(cuts, cuts[1:])]
+    return [((blocks[x] | blocks[y]) >> 64, (blocks[x] | blocks[y]) & ((1 << 64) - 1)) for x, y in combinations(range(n), 2)]
+
+
+def _count(left: np.ndarray, right: np.ndarray | None, table: int, masks: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the others of a group each of its members is near to: (of left, of right), rows being (high, low). A pair counts in the first table in which it meets, and nowhere else."""
+    other = left if right is None else right
+    mine, theirs = np.zeros(len(left), np.int64), np.zeros(len(other), np.int64)
+    step = max(1, (1 << 20) // max(1, len(other)))
+    for i in range(0, len(left), step):
+        apart = left[i : i + step, None, :] ^ other[None, :, :]
+        a, b = np.nonzero(np.bitwise_count(apart).sum(2, dtype=np.uint8) <= radius)
+        if right is None:
+            a, b = a[(later := b > a + i)], b[later]
+        bits = apart[a, b]
+        first = np.ones(len(a), bool)
+        for high, low in masks[:table]:
+            first &= (bits[:, 0] & high | bits[:, 1] & low) != 0
+        np.add.at(mine, a[first] + i, 1)
+        np.add.at(theirs, b[first], 1)
+    return (mine + theirs, theirs) if right is None else (mine, theirs)
+
+
+def near(prints: DataFrame, radius: int = 6, block: int = 1 << 16) -> DataFrame:
+    """fingerprint, representative (the least doc_id that has it), links: how many other fingerprints are at most radius bits apart.
+
+    The bits are cut into radius + 2 blocks; two near fingerprints are equal in at least two of them, so each pair of
+    blocks, permuted to the front, keys a table in which they meet. Each table holds a fingerprint once, however many
+    documents have it, and a pair is counted in the first table in which it meets: no pairs leave a task. A key that a
+    sample of the fingerprints shows to be hot is split into parts of about block fingerprints, each two of which are a
+    task of their own. Null ids and fingerprints are left out.
+    """
+    spark = prints.sparkSession
+    masks = np.array(_tables(radius), np.uint64)
+    known = prints.where(F.col("doc_id").isNotNull() & F.col("fingerprint").isNotNull())
+    first = written(known.groupBy("fingerprint").agg(F.min("doc_id").alias("representative")))
+    total = first.count()
+    signed = masks.view(np.int64).tolist()
+    number = [F.conv(F.substring("fingerprint", i, 16), 16, -10).cast("long") for i in (1, 17)]
+    halves = first.select(number[0].alias("high"), number[1].alias("low"))
+
+    def keyed(df: DataFrame) -> DataFrame:
+        tables = df.withColumn("t", F.explode(F.array(*(F.lit(i).cast("tinyint") for i in range(len(signed))))))
+        high, low = (F.element_at(F.array(*(F.lit(m[i]) for m in signed)), F.col("t").cast("int") + 1) for i in (0, 1))
+        return tables.withColumn("key", F.xxhash64("t", F.col("high").bitwiseAND(high), F.col("low").bitwiseAND(low)))
+
+    # at most 1,000 keys of a table have a thousandth of the fingerprints: the list of hot keys is bounded, whatever the input
+    sample = keyed(halves.where(F.pmod(F.xxhash64("low", "high"), F.lit(64)) == 0))
+    least = max(block // 64, total // 64 // 1000, 1)
+    hot = {r.key: -(-64 * r.n // block) for r in sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()}
+    rows = keyed(halves)
+    if hot:
+        sizes = spark.createDataFrame(list(hot.items()), "key long, parts long")
+        rows = rows.join(F.broadcast(sizes), "key", "left").withColumn("mine", F.pmod(F.xxhash64("low", "high"), F.coalesce("parts", F.lit(1))))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
+        rows = rows.select("high", "low", "t", F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).alias("key"), (F.col("mine") > F.col("other")).cast("int").alias("side"), (F.col("mine") != F.col("other")).cast("int").alias("two"))
+    else:
+        rows = rows.select("high", "low", "t", "key", F.lit(0).alias("side"), F.lit(0).alias("two"))
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Whole groups of equal keys, many at a time: (key, side, two, table), (high, low)."""
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            high, low, t, key, side, two = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6))
+            marks, bits = np.stack([key, side, two, t], 1), np.stack([high, low], 1).view(np.uint64)
+            cut = np.searchsorted(key, key[-1]) if len(key) else 0
+            if cut or kept and kept[-1][0][-1, 0] != key[0]:
+                kept.append((marks[:cut], bits[:cut]))
+                yield np.concatenate([m for m, _ in kept]), np.concatenate([b for _, b in kept])
+                kept = []
+            if len(key):
+                kept.append((marks[cut:], bits[cut:]))
+        if kept:
+            yield np.concatenate([m for m, _ in kept]), np.concatenate([b for _, b in kept])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for marks, bits in groups(b for b in batches if b.num_rows):
+            cuts = np.flatnonzero(np.concatenate([[True], marks[1:, 0] != marks[:-1, 0], [True]]))
+            links = np.zeros(len(marks), np.int64)
+            for a, b in zip(cuts[:-1][(several := np.diff(cuts) > 1)].tolist(), cuts[1:][several].tolist()):
+                if marks[a, 2]:
+                    middle = a + int(np.searchsorted(marks[a:b, 1], 1))
+                    links[a:middle], links[middle:b] = _count(bits[a:middle], bits[middle:b], marks[a, 3], masks, radius)
+                else:
+                    links[a:b] = _count(bits[a:b], None, marks[a, 3], masks, radius)[0]
+            hit = np.flatnonzero(links)
+            if len(hit):
+                yield batch_of(high=pa.array(bits[hit, 0].view(np.int64)), low=pa.array(bits[hit, 1].view(np.int64)), links=pa.array(links[hit]))
+
+    parts = max(1, -(-total * len(signed) // 2_000_000), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts = rows.repartition(parts, "key").sortWithinPartitions("key", "side").mapInArrow(run, "high long, low long, links long")
+    counts = counts.groupBy("high", "low").agg(F.sum("links").alias("links"))
+    mine = first.withColumns({"high": number[0], "low": number[1]})
+    return mine.join(counts, ["high", "low"], "left").select("fingerprint", "representative", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def _edited(text: str, following: str) -> str:
@@ -171,15 +227,14 @@ def edited(docs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def linked(docs: DataFrame, radius: int = 12) -> DataFrame:
-    """The rows of edited(), and for each: representative, the least doc_id with its fingerprint; links, how many other fingerprints are within the radius.
+def linked(docs: DataFrame, radius: int = 6) -> DataFrame:
+    """The rows of edited(), and for each: representative, the least doc_id with its fingerprint; links, how many other fingerprints are within the radius. Rows without an id have neither.
 
     One changed word moves more bits the shorter the text: of 50 to 150 words 7.7 on average (within 6 bits: 0.35 of such
-    edits, within 12: 0.91), of 150 to 400 words 5.1 (0.73, 1.00), of more 2.9 (0.98, 1.00).
+    edits, within 12: 0.91), of 150 to 400 words 5.1 (0.73, 1.00), of more 2.9 (0.98, 1.00). A radius of 6 takes 28 tables
+    with keys of 32 bits, one of 12 takes 91 with keys of 18, in which everything meets from some 10^5 fingerprints on.
     """
     rows = written(edited(docs))
-    pairs, _ = near(rows.select("doc_id", "fingerprint"), radius)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("representative")).groupBy("representative").agg(F.count("*").alias("links"))
-    classes = rows.where(F.col("doc_id").isNotNull()).groupBy("fingerprint").agg(F.min("doc_id").alias("representative"))
-    known = classes.join(ends, "representative", "left").select("fingerprint", "representative", F.coalesce("links", F.lit(0)).alias("links"))
-    return rows.join(known, "fingerprint", "left").select(*rows.columns, "representative", F.coalesce("links", F.lit(0)).alias("links"))
+    known = near(rows.select("doc_id", "fingerprint"), radius)
+    has_id = F.col("doc_id").isNotNull()
+    return rows.join(known, "fingerprint", "left").select(*rows.columns, F.when(has_id, F.col("representative")).alias("representative"), F.when(has_id, F.coalesce("links", F.lit(0))).alias("links"))
