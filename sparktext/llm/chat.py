@@ -8,8 +8,10 @@ An event is a row conv_id, turn, seq, kind, role, text. Kinds:
   delete      takes the turn's latest message away
 An event for a turn without a message opens one (delete: does nothing); an unknown kind is an error.
 
-Events are partitioned by conversation and sorted by turn and sequence, then folded as they stream by: one message is in
-memory at a time, however long the conversation.
+Events are partitioned by conversation and sorted by sequence within each turn, then folded as they stream by: one
+message is in memory at a time, however long the conversation. What an event does to other turns, regenerate alone, it
+does to later ones, so that this order gives what the order by sequence alone would. Rendering and digests stream on in
+the order of the fold: there is one exchange in all.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 KINDS = ("message", "delta", "edit", "regenerate", "delete")
 MESSAGES = "conv_id long, n long, turn long, role string, text string"
+EVENTS = "conv_id long, turn long, seq long, kind string, role string, text string"
 RENDERED = "conv_id long, n long, segment string, loss_start int, loss_end int"
 
 
@@ -50,6 +53,36 @@ def events_of(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
+def log_of(conversations: DataFrame) -> DataFrame:
+    """A table of turns as the log that led to them, in the order of fold(): an assistant's text comes as a message and deltas, a user's as a draft that is edited, others' written anew once.
+
+    Repeated rows are turns of their own, in the order of role and text. Nulls are as in fold().
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq = 0
+
+        def events(rows):
+            nonlocal seq
+            for conv, turn, role, text in rows:
+                text = text or ""
+                third = len(text) // 3
+                if role == "assistant":
+                    made = [("message", role, text[:third]), ("delta", None, text[third : 2 * third]), ("delta", None, text[2 * third :])]
+                elif role == "user":
+                    made = [("message", "draft", text[:third]), ("edit", role, text)]
+                else:
+                    made = [("message", role, text[:third]), ("regenerate", role, text)]
+                for kind, who, what in made:
+                    yield conv, turn, seq, kind, who, what
+                    seq += 1
+
+        yield from _batches(events(_rows(batches)), _EVENT_SCHEMA)
+
+    rows = by_conversation(conversations.select("conv_id", "turn", "role", "text"), "turn", "role", "text")
+    return rows.mapInArrow(run, EVENTS)
+
+
 def by_conversation(df: DataFrame, *order: str) -> DataFrame:
     return df.repartition("conv_id").sortWithinPartitions("conv_id", *order)
 
@@ -71,11 +104,12 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 512) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept), schema)], schema=schema)
 
 
+_EVENT_SCHEMA = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("seq", pa.int64()), ("kind", pa.string()), ("role", pa.string()), ("text", pa.string())])
 _MESSAGE_SCHEMA = pa.schema([("conv_id", pa.int64()), ("n", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """Final messages: conv_id, n (0, 1, ... by turn), turn, role, text.
+def fold(events: DataFrame, ordered: bool = False) -> DataFrame:
+    """Final messages: conv_id, n (0, 1, ... by turn), turn, role, text; each conversation in one partition, in that order. ordered: so are the events.
 
     Null texts and roles are empty; null turns and sequences come first; rows that are equal in order are taken by kind
     (messages first), role and text. Events of a null conv_id are one conversation.
@@ -121,6 +155,8 @@ def fold(events: DataFrame) -> DataFrame:
     def run(batches):
         return _batches(final(_rows(batches)), _MESSAGE_SCHEMA)
 
+    if ordered:
+        return events.select("conv_id", "turn", "seq", "kind", "role", "text").mapInArrow(run, MESSAGES)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     ordered = by_conversation(events.select("conv_id", "turn", "seq", "kind", "role", "text").withColumn("rank", rank), "turn", "seq", "rank", "role", "text")
     return ordered.drop("rank").mapInArrow(run, MESSAGES)
@@ -149,11 +185,12 @@ def parse(segment: str) -> tuple[str, str]:
 
 
 def format_conversations(conversations: DataFrame) -> DataFrame:
-    return render(fold(events_of(conversations)))
+    """Segments of a table of turns, whose log is folded: each conversation in one partition, in order."""
+    return render(fold(log_of(conversations), ordered=True))
 
 
-def digests(rendered: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from rendered segments as they stream by."""
+def digests(rendered: DataFrame, ordered: bool = False) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from rendered segments as they stream by. ordered: each conversation's are in one partition, in order, as fold() leaves them."""
 
     def per_conversation(rows: Iterator[tuple]) -> Iterator[tuple]:
         conv = state = None
@@ -179,4 +216,5 @@ def digests(rendered: DataFrame) -> DataFrame:
         return _batches(per_conversation(_rows(batches)), schema)
 
     out = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return by_conversation(rendered.select("conv_id", "n", "segment", "loss_start", "loss_end"), "n").mapInArrow(run, out)
+    rows = rendered.select("conv_id", "n", "segment", "loss_start", "loss_end")
+    return (rows if ordered else by_conversation(rows, "n")).mapInArrow(run, out)
