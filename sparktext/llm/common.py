@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import platform
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 U64 = np.uint64
+SLICE = 512
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,46 +26,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. The session names it; a folder of our own serves only where it doesn't."""
+    """The folder that all executors share. The session names it; a folder of our own serves only where it doesn't, and all executors are on this machine."""
     if path := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(path)
         return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='sparktext-')}")
     return spark.sparkContext.getCheckpointDir()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: computed once, it cuts the lineage and outlives executors."""
+    """df as a table in the shared folder: computed once, it cuts the lineage and outlives executors. What was shuffled for it is dropped when it is there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_DROP_SHUFFLES) if before is None else spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the context drop the shuffle files of finished jobs, which otherwise stay until the driver's next garbage collection.
-
-    Python's handles of Java objects are in cycles: these go first. The cleaner works on its own; it is given a moment.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
-def local_path(uri: str) -> str | None:
-    """The path of a shared folder that is a mounted file system, else None."""
-    return uri.removeprefix("file://").removeprefix("file:") if uri.startswith(("file:", "/")) else None
-
-
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """df; from now on its session sends Python at most so many rows at once, since texts may be long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name, "10000")) <= rows:
-        conf.set(name, str(rows))
-    return df
+def scratch(uri: str) -> tuple[FileSystem, str]:
+    """A new folder in a shared one, of any file system that pyarrow knows, for what one task spills: (file system, path). The task deletes it; a task that is run again has another."""
+    known, path = FileSystem.from_uri(uri.replace("s3a://", "s3://", 1).replace("file:///", "/", 1))
+    path = f"{path}/scratch-{uuid.uuid4().hex}"
+    known.create_dir(path, recursive=True)
+    return known, path
 
 
 def trim() -> None:
@@ -73,19 +65,27 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """One output batch for each Arrow batch; long batches are cut so that few texts are in memory at once."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
+    """One output batch for each slice of an Arrow batch: few texts are in memory as Python's at once. (Spark bounds an Arrow batch by its bytes.)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             for batch in batches:
-                for i in range(0, batch.num_rows, 2048):
-                    if (out := fn(batch.slice(i, 2048))) is not None:
+                for i in range(0, batch.num_rows, SLICE):
+                    if (out := fn(batch.slice(i, SLICE))) is not None:
                         yield out
         finally:
             trim()
 
-    return small_batches(df).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
+
+
+def unused(stem: str, *frames: DataFrame) -> str:
+    """A column name that none of the frames has, in any case of letters."""
+    taken, name = {c.lower() for f in frames for c in f.columns}, stem
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def batch_of(**columns) -> pa.RecordBatch:
@@ -94,7 +94,7 @@ def batch_of(**columns) -> pa.RecordBatch:
 
 def as_docs(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the columns an operator reads: what else the table has, and under which names, doesn't matter."""
-    return small_batches(docs).select(*(docs[c] for c in ("doc_id", *columns)))
+    return docs.select(*(docs[c] for c in ("doc_id", *columns)))
 
 
 def text_or_empty(name: str = "text"):

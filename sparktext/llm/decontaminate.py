@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_docs, batch_of, map_batches
+from .common import as_docs, batch_of, map_batches, unused
 
 _SPACES = {ord(c): " " for c in "\t\n\r\x0b\x0c\x85\xa0"}
 RESULT = "doc_id long, item_id long, distance int, edits_allowed int, start int, stop int"
@@ -148,5 +148,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = 1
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """The documents without a match, all their columns. Rows with a null doc_id stay."""
-    hits = contamination(docs, benchmark, **parameters).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, docs["doc_id"] == F.col("_hit"), "left_anti")
+    hit = unused("hit", docs)
+    hits = contamination(docs, benchmark, **parameters).select(F.col("doc_id").alias(hit)).distinct()
+    return docs.join(hits, docs["doc_id"] == F.col(hit), "left_anti")

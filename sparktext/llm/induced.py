@@ -11,10 +11,10 @@ All steps are done on blocks of tuples. Order and common prefixes are exact up t
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
+from pyarrow.fs import FileSystem
 
 BLOCK = 1 << 16
 _LOG = np.zeros(BLOCK + 2, np.int64)
@@ -25,36 +25,43 @@ _TUPLE = np.dtype([("at", "<i4"), ("lcp", "u1")])
 class Queues:
     """256 queues of (suffix, lcp), read from the front while they grow, and once more as a whole."""
 
-    def __init__(self, folder: str | None, memory: int, name: str):
+    def __init__(self, folder: tuple[FileSystem, str] | None, memory: int, name: str):
         self.kept: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(256)]
-        self.spilled: list[list[tuple[int, int]]] = [[] for _ in range(256)]
+        self.spilled: list[list[tuple[int, int, int]]] = [[] for _ in range(256)]  # file, offset, tuples
         self.unread = [0] * 256  # chunks read so far, spilled ones first
-        self.file = os.path.join(folder, name) if folder else None
-        self.memory, self.held, self.end = memory, 0, 0
+        self.folder, self.name, self.files = folder, name, 0
+        self.memory, self.held = memory, 0
 
     def push(self, c: int, at: np.ndarray, lcp: np.ndarray) -> None:
         self.kept[c].append((at, lcp))
         self.held += 5 * len(at) + 200
-        if self.held > self.memory and self.file:
+        if self.held > self.memory and self.folder:
             self._spill()
 
+    def _file(self, k: int) -> str:
+        return f"{self.folder[1]}/{self.name}-{k}"
+
     def _spill(self) -> None:
-        with open(self.file, "ab") as f:
+        """Each spill is a file of its own: not every file system appends."""
+        end = 0
+        with self.folder[0].open_output_stream(self._file(self.files)) as f:
             for c in range(256):
                 for at, lcp in self.kept[c]:
                     rows = np.empty(len(at), _TUPLE)
                     rows["at"], rows["lcp"] = at, lcp
                     f.write(rows.tobytes())
-                    self.spilled[c].append((self.end, len(at)))
-                    self.end += rows.nbytes
+                    self.spilled[c].append((self.files, end, len(at)))
+                    end += rows.nbytes
                 self.kept[c] = []
+        self.files += 1
         self.held = 0
 
     def _chunk(self, c: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         if k >= len(self.spilled[c]):
             return self.kept[c][k - len(self.spilled[c])]
-        begin, n = self.spilled[c][k]
-        rows = np.fromfile(self.file, _TUPLE, n, offset=begin)
+        file, begin, n = self.spilled[c][k]
+        with self.folder[0].open_input_file(self._file(file)) as f:
+            rows = np.frombuffer(f.read_at(n * _TUPLE.itemsize, begin), _TUPLE)
         return rows["at"].copy(), rows["lcp"].copy()
 
     def count(self, c: int) -> int:
@@ -224,10 +231,10 @@ def _range_least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
     return out
 
 
-def sorted_suffixes(text: np.ndarray, depth: int, folder: str | None = None, memory: int = 1 << 27) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def sorted_suffixes(text: np.ndarray, depth: int, folder: tuple[FileSystem, str] | None = None, memory: int = 1 << 27) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks of (suffixes, common prefixes with the one before, up to depth). Blocks of a first character are in order; first characters go down, and the common prefix at the start of each is 0.
 
-    text: uint8, below 255; its last character is its only 0. Of a folder, two files are made, the caller's to delete.
+    text: uint8, below 255; its last character is its only 0. folder: a file system and a path in it, for files that are the caller's to delete.
     """
     n = len(text)
     padded = np.concatenate([text, np.zeros(depth + 24, np.uint8)])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 import xxhash
 
-from .common import U64, WordHashes, as_docs, batch_of, map_batches, release, shingles, words_of, written
+from .common import U64, WordHashes, as_docs, batch_of, map_batches, shingles, trim, words_of, written
 from .pairs import components, within_groups
 
 REGISTERS, BAND = 80, 4
@@ -85,42 +85,48 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
-    """key, id of every band; a bucket's key stands for the band and its registers."""
+    """key, band, id of every band; a bucket's key stands for the band and its registers."""
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("registers", 2 * BAND * b + 1, 2 * BAND)) for b in range(REGISTERS // BAND)))
-    return reps.select("id", F.explode(keys).alias("key"))
+    return reps.select("id", F.posexplode(keys).alias("band", "key"))
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets have 100 * intersection >= percent * union. Groups of one a stream by: its set, then those of its partners."""
+    """Those pairs (a, b) whose full sets have 100 * intersection >= percent * union. Groups of one a stream by: its set, then those of its partners. Of a doc_id with several texts, any will do."""
     wanted = pairs.select(F.col("b").alias("id"), F.col("a").alias("hub")).unionByName(pairs.select(F.col("a").alias("id"), F.col("a").alias("hub")).distinct())
-    # a hub of many partners is spread over parts, each with the hub's own text
-    part = F.pmod(F.xxhash64("id"), F.lit(16))
-    shares = pairs.select(F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.lit(16)).alias("part")).distinct()
-    own = wanted.where("id = hub").join(shares, "hub").select("id", "hub", "part")
-    placed = wanted.where("id <> hub").select("id", "hub", part.alias("part")).unionByName(own)
+    # a hub of many partners is spread over parts, about 1,000 in each, with the hub's own text
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / 1000).alias("parts")).select(F.col("a").alias("hub"), "parts")
+    wanted = wanted.join(sizes, "hub")
+    own = wanted.where("id = hub").select("id", "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    placed = wanted.where("id <> hub").select("id", "hub", F.pmod(F.xxhash64("id"), "parts").alias("part")).unionByName(own)
     texts = as_docs(docs, "text").join(placed, F.col("doc_id") == F.col("id")).select("hub", "part", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, mine, done = None, None, None
+        group, mine, seen = None, [], set()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 found = []
-                for hub, part_, own_, doc, text in zip(*(c.to_pylist() for c in batch.slice(k, 512).columns)):
-                    if done == (hub, part_, doc):
-                        continue  # a repeated row
-                    done = (hub, part_, doc)
-                    items = shingles(_hashes.of(words_of(text)))
-                    if (hub, part_) != group and own_ == 0:
-                        group, mine = (hub, part_), items
+                for hub, part, own_, doc, text in zip(*(c.to_pylist() for c in batch.slice(k, 512).columns)):
+                    if (hub, part) != group:
+                        group, mine, seen = (hub, part), [], set()
+                    words = words_of(text)
+                    items = shingles(_hashes.of(words))
+                    if own_ == 0:
+                        if (key := xxhash.xxh3_128_digest(b" ".join(words))) not in seen:  # repeated rows teach nothing
+                            seen.add(key)
+                            mine.append(items)
                         continue
-                    both = len(np.intersect1d(mine, items, assume_unique=True))
-                    if 100 * both >= percent * (len(mine) + len(items) - both):
-                        found.append((hub, doc))
+                    for set_ in mine:
+                        both = len(np.intersect1d(set_, items, assume_unique=True))
+                        if both and 100 * both >= percent * (len(set_) + len(items) - both):
+                            found.append((hub, doc))
+                            break
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+        trim()
 
     ordered = texts.withColumn("own", (F.col("id") != F.col("hub")).cast("int")).select("hub", "part", "own", "id", "text")
-    return ordered.repartition("hub", "part").sortWithinPartitions("hub", "part", "own", "id").mapInArrow(run, "a long, b long")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ordered.repartition(parts, "hub", "part").sortWithinPartitions("hub", "part", "own", "id").mapInArrow(run, "a long, b long")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -136,7 +142,8 @@ def _likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
         hit = np.flatnonzero(estimate(ra, rb, na, nb) >= least)
         return batch_of(a=batch.column(0).take(pa.array(hit)), b=batch.column(1).take(pa.array(hit)))
 
-    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb"), run, "a long, b long")
+    # the same pair comes again where an id has several texts
+    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ra", "rb"), run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.25) -> DataFrame:
@@ -144,8 +151,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.25) ->
 
     Documents are linked if 100 * intersection >= percent * union of their sets; component_id is the least doc_id that can
     be reached, kept is doc_id = component_id. Texts without words have empty sets and no links. Rows with a null doc_id are
-    on their own (component_id null, kept). Repeated rows are answered row by row: the same doc_id gets the same answer
-    where its text is the same; of several texts under one doc_id, any may link it.
+    on their own (component_id null, kept). Repeated rows are answered row by row; of several texts under one doc_id, any may
+    link it, and all are of one component, whatever the order of the rows.
 
     A pair at 0.85 shares none of the 20 bands with a chance of 4e-7, and is as far as slack below its estimate with one of
     1e-9: this is the loss that the method allows.
@@ -154,24 +161,29 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.25) ->
     full = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("sequence").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
     classes = written(classes)
-    # a doc_id with several texts may represent several classes: they are linked from the outset, by their id
     reps = classes.select("id", "n", "registers")
     buckets = written(_buckets(reps))
+    # the classes that one doc_id has texts of are linked from the outset
+    several = full.groupBy("doc_id").agg(F.min("sequence").alias("x"), F.max("sequence").alias("y")).where("x <> y").select("doc_id")
+    own = full.join(several, "doc_id", "left_semi").select("doc_id", "sequence").distinct().join(classes.select("sequence", "id"), "sequence")
+    own = written(own.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b"))
     hubs = buckets.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).getField("id").alias("a")).where("size > 1")
     stars = written(_likely(buckets.join(hubs.select("key", "a"), "key").where("id <> a").select("a", F.col("id").alias("b")).distinct(), reps, percent / 100 - slack))
-    release(docs.sparkSession)
-    links = written(_confirmed(docs, stars, percent))
-    release(docs.sparkSession)
+    links = written(_confirmed(docs, stars, percent)).unionByName(own)
     first = written(components(links))
 
     # buckets whose members are still apart
-    placed = buckets.join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = buckets.join(first, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
     apart = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     members = placed.join(apart, "key").join(reps.select("id", "n", "registers"), "id")
+    least = percent / 100 - slack
 
     def compare(a: pd.DataFrame, b: pd.DataFrame | None) -> pd.DataFrame:
+        """Likely pairs across components whose first band in common is this one: each pair comes from one bucket."""
         right = a if b is None else b
         ra, rb = (np.frombuffer(b"".join(x["registers"]), np.uint16).reshape(-1, REGISTERS) for x in (a, right))
+        band = int(a["band"].iloc[0])
+        before_a, before_b = (r.view(np.uint64)[:, :band] for r in (ra, rb))
         ids, others, ca, cb = a["id"].to_numpy(), right["id"].to_numpy(), a["component"].to_numpy(), right["component"].to_numpy()
         na, nb = a["n"].to_numpy(), right["n"].to_numpy()
         out = []
@@ -180,19 +192,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.25) ->
             if b is None:
                 hit = hit[hit > k]
             if len(hit):
-                hit = hit[(rb[hit] == ra[k]).sum(1) >= (percent / 100 - slack) * REGISTERS]
+                hit = hit[~(before_b[hit] == before_a[k]).any(1)]
             if len(hit):
-                hit = hit[estimate(ra[k][None, :], rb[hit], na[k : k + 1], nb[hit]) >= percent / 100 - slack]
+                hit = hit[(rb[hit] == ra[k]).sum(1) >= least * REGISTERS]
+            if len(hit):
+                hit = hit[estimate(ra[k][None, :], rb[hit], na[k : k + 1], nb[hit]) >= least]
             if len(hit):
                 out.append(np.stack([np.minimum(others[hit], ids[k]), np.maximum(others[hit], ids[k])], 1))
         return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
 
-    across = written(within_groups(members, compare, "a long, b long").distinct())
-    tried = across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    across = within_groups(members, compare, "a long, b long")
+    tried = written(across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").distinct())
     if not tried.isEmpty():
-        links = links.unionByName(written(_confirmed(docs, written(tried), percent)))
+        links = links.unionByName(written(_confirmed(docs, tried, percent)))
         first = written(components(links))
-    release(docs.sparkSession)
     of_class = classes.join(first, "id", "left").select("sequence", F.coalesce("component", "id").alias("component"))
     out = sigs.join(of_class, "sequence", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))

@@ -47,7 +47,8 @@ def within_groups(members: DataFrame, compare: Callable[[pd.DataFrame, pd.DataFr
         finally:
             trim()
 
-    return tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInPandas(run, schema)
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated: rows are few, but each stands for many comparisons
+    return tasks.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "id").mapInPandas(run, schema)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -13,23 +13,22 @@ are exchanged once, and no text is but at the end, with its spans.
 from __future__ import annotations
 
 import hashlib
-import os
-import shutil
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_docs, local_path, release, shared_dir, trim, written
+from .common import as_docs, scratch, shared_dir, trim, unused, written
 from .induced import sorted_suffixes
 
 PART = 12
 LAST = (1 << 63) - 1  # a null doc_id is after all others
 SEVERAL = 255
+_READY = b"\xff" * 8  # no compressed blob begins like this
 _SPREAD = np.uint32(0x85EBCA6B)
 
 
@@ -87,13 +86,25 @@ def _windows(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndar
     key = least[first]
     # where the part with the key's hash is; SEVERAL, if it is in more than one place, or may be
     size = ends - first + length - 1
+    most, have = least, 1
+    while have < w:
+        step = min(have, w - have)
+        most = np.maximum(most[: len(most) - step], most[step:])
+        have += step
+    # of the strings around a part, the greatest key is the part's hash if it is the key of any of them
+    inner = h[w - 1 : w - 1 + len(most)] == most
+    places = np.flatnonzero(np.concatenate([np.ones(w - 1, bool), inner, np.ones(len(h) - w + 1 - len(most), bool)]))
     offset, times = np.full(len(first), SEVERAL, np.int64), np.zeros(len(first), np.int64)
     few = np.flatnonzero(size <= 2 * length - PART)
-    at, wanted, last = first[few], key[few], size[few] - PART
-    for o in range(2 * (length - PART) + 1):
-        hit = few[(h[np.minimum(at + o, len(h) - 1)] == wanted) & (o <= last)]
-        times[hit] += 1
-        offset[hit] = o
+    at, stop = np.searchsorted(places, first[few]), np.searchsorted(places, first[few] + size[few] - PART, side="right")
+    while len(few):
+        there = places[np.minimum(at, len(places) - 1)]
+        hit = h[there] == key[few]
+        times[few[hit]] += 1
+        offset[few[hit]] = there[hit] - first[few[hit]]
+        at += 1
+        on = at < stop
+        few, at, stop = few[on], at[on], stop[on]
     offset[times != 1] = SEVERAL
     return np.searchsorted(starts, first, side="right") - 1, first, size, offset, key
 
@@ -199,10 +210,53 @@ def _candidates(blobs: list[bytes], length: int) -> np.ndarray:
     return found
 
 
-def _shard(blobs: list[bytes], length: int, folder: str | None, memory: int) -> Iterator[tuple[int, int, bytes]]:
+def _repeated(data: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether a document of a smaller id has a fragment with the same bytes."""
+    out = np.zeros(len(key), bool)
+    at = np.flatnonzero(_shared(key.astype(np.uint64) << np.uint64(32) | size.astype(np.uint64), ids[doc]))
+    raw, first, same = data.tobytes(), {}, []
+    for a, b, i in zip(place[at].tolist(), (place + size)[at].tolist(), ids[doc[at]].tolist()):
+        fragment = raw[a:b]
+        same.append(fragment)
+        if i < first.setdefault(fragment, i):
+            first[fragment] = i
+    out[at] = ids[doc[at]] > np.fromiter(map(first.__getitem__, same), np.int64, len(same))
+    return out
+
+
+def _runs(other: np.ndarray, place: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans (place, stop) merged where they touch, other being where a document's begin: (where runs begin, rows of start and stop). In order of place; stops rise with places."""
+    cut = np.flatnonzero(other | np.concatenate([[True], place[1:] > stop[:-1]]))
+    ends = np.concatenate([cut[1:], [len(place)]])
+    return cut, np.stack([place[cut], stop[ends - 1]], 1)
+
+
+def _spans_of(ids: np.ndarray, hashes: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray) -> bytes:
+    """Spans that need no sorting, as they go along with fragments: eight bytes of 255, and numbers."""
+    other = np.concatenate([[True], doc[1:] != doc[:-1]])
+    cut, spans = _runs(other, place, place + size)
+    parts = [np.cumsum(other)[cut] - 1, ids[other], hashes[other], spans.ravel()]
+    return _READY + zstandard.ZstdCompressor(level=1).compress(b"".join([np.array([len(cut), int(other.sum())], "<i8").tobytes(), *(_planes(x.astype("<i8")) for x in parts)]))
+
+
+def _ready_spans(blob: bytes) -> Iterator[tuple[int, int, bytes]]:
+    raw = zstandard.ZstdDecompressor().decompress(blob[len(_READY) :])
+    n, m = np.frombuffer(raw[:16], "<i8").tolist()
+    cuts = np.cumsum([16, 8 * n, 8 * m, 8 * m, 16 * n]).tolist()
+    doc, ids, hashes, spans = (_from_planes(raw[a:b], "<i8") for a, b in zip(cuts, cuts[1:]))
+    spans = spans.reshape(-1, 2).astype("<i4")
+    at = np.searchsorted(doc, np.arange(m + 1)).tolist()
+    for i, h, a, b in zip(ids.tolist(), hashes.tolist(), at, at[1:]):
+        yield i, h, spans[a:b].tobytes()
+
+
+def _shard(blobs: list[bytes], length: int, folder: tuple[FileSystem, str] | None, memory: int) -> Iterator[tuple[int, int, bytes]]:
     """(doc_id, hash of its text, spans) of what a shard's documents have from earlier ones. spans: pairs of int32."""
-    shared = _candidates(blobs, length)
-    if not shared.any():
+    for blob in blobs:
+        if blob.startswith(_READY):
+            yield from _ready_spans(blob)
+    blobs = [b for b in blobs if not b.startswith(_READY)]
+    if not blobs or not (shared := _candidates(blobs, length)).any():
         return
     fragments: dict[bytes, int] = {}
     at, which, owners, texts, places = 0, [], [], [], []
@@ -263,9 +317,8 @@ def _shard(blobs: list[bytes], length: int, folder: str | None, memory: int) ->
         place = places[part][copy] + step
         r, t = rank[part][copy], texts[part][copy]
         other = np.concatenate([[True], (r[1:] != r[:-1]) | (t[1:] != t[:-1])])
-        cut = np.flatnonzero(other | np.concatenate([[True], place[1:] > place[:-1] + length]))
-        ends = np.concatenate([cut[1:], [len(copy)]])
-        spans = np.stack([place[cut], place[ends - 1] + length], 1).astype("<i4")
+        cut, spans = _runs(other, place, place + length)
+        spans = spans.astype("<i4")
         of = np.flatnonzero(other[cut])
         for a, b in zip(of.tolist(), [*of[1:].tolist(), len(cut)]):
             yield int(known[r[cut[a]]]), int(t[cut[a]]), spans[a:b].tobytes()
@@ -281,14 +334,19 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 6 << 20
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, round(3.5 * total / shard_bytes))
-    shared = local_path(shared_dir(spark))
+    shared = shared_dir(spark)
 
     def pack(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
         data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
         starts = np.cumsum([0, *(len(r[2]) for r in rows)])
         ids, hashes = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
         doc, place, size, offset, key = _windows(data, starts, length)
-        shard = ((key * _SPREAD) ^ (key >> np.uint32(7))) % np.uint32(shards)
+        # of equal fragments of several documents, the first one's is enough for others: the rest of them is repeated as it is
+        ready = _repeated(data, doc, place, size, key, ids)
+        if ready.any():
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([int(ids[0]) % shards], pa.int32()), "blob": pa.array([_spans_of(ids[doc[ready]], hashes[doc[ready]], doc[ready], place[ready] - starts[doc[ready]], size[ready])], pa.binary())})
+            doc, place, size, offset, key = (x[~ready] for x in (doc, place, size, offset, key))
+        shard = (((key * _SPREAD) ^ (key >> np.uint32(7))) % np.uint32(shards)).astype(np.uint16 if shards < 1 << 16 else np.uint32)
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
         for s in np.flatnonzero(np.diff(cuts)).tolist():
@@ -316,11 +374,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 6 << 20
         trim()
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder = os.path.join(shared, f"sort-{uuid.uuid4().hex}") if shared else None
-
         def done(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-            if folder:
-                os.makedirs(folder)
+            folder = scratch(shared)
             try:
                 rows = []
                 for row in _shard(blobs, length, folder, memory):
@@ -331,8 +386,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 6 << 20
                 if rows:
                     yield _span_batch(rows)
             finally:
-                if folder:
-                    shutil.rmtree(folder, ignore_errors=True)
+                folder[0].delete_dir(folder[1])
                 trim()
 
         at, blobs = None, []
@@ -348,9 +402,9 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 6 << 20
             yield from done(blobs)
 
     packed = texts.mapInArrow(split, "shard int, blob binary")
-    spans = packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(sort, "doc_id long, text_hash long, spans binary")
+    # beyond so many partitions, a task takes one shard after the other
+    spans = packed.repartition(min(shards, 16_384), "shard").sortWithinPartitions("shard").mapInArrow(sort, "doc_id long, text_hash long, spans binary")
     spans = written(spans)
-    release(spark)
     return spans.groupBy("doc_id", "text_hash").agg(F.collect_list("spans").alias("spans"))
 
 
@@ -375,10 +429,12 @@ def _kept(raw: bytes, runs: np.ndarray) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
 
 
-def _with_spans(docs: DataFrame, length: int, columns: list[str]) -> DataFrame:
-    spans = repeated_spans(docs, length).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "spans")
-    rows = docs.select(*(docs[c] for c in columns), F.coalesce(docs["doc_id"], F.lit(LAST)).alias("_at"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("_th"))
-    return rows.join(spans, (F.col("_at") == F.col("_id")) & (F.col("_th") == F.col("_hash")), "left")
+def _with_spans(docs: DataFrame, length: int, columns: list[str], name: str) -> DataFrame:
+    """The columns of docs, and a document's spans under that name."""
+    at, hash_, there, its = (unused(f"{name}_{x}", docs) for x in ("at", "hash", "doc", "text"))
+    spans = repeated_spans(docs, length).select(F.col("doc_id").alias(at), F.col("text_hash").alias(hash_), F.col("spans").alias(name))
+    rows = docs.select(*(docs[c] for c in columns), F.coalesce(docs["doc_id"], F.lit(LAST)).alias(there), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias(its))
+    return rows.join(spans, (F.col(there) == F.col(at)) & (F.col(its) == F.col(hash_)), "left").select(*columns, name)
 
 
 def dedup_report(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -397,7 +453,7 @@ def dedup_report(docs: DataFrame, length: int = 50) -> DataFrame:
                     digests.append(hashlib.sha256(_kept(raw, runs)).hexdigest())
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "n_bytes": pa.array(sizes, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(counts, pa.int64()), "kept_sha256": pa.array(digests, pa.string())})
 
-    rows = _with_spans(docs, length, ["doc_id", "text"]).select("doc_id", "text", "spans")
+    rows = _with_spans(docs, length, ["doc_id", "text"], "spans")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -421,16 +477,16 @@ def deduplicated(docs: DataFrame, length: int = 50) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
-            text, spans = batch.column(names.index("text")).to_pylist(), batch.column(names.index("spans")).to_pylist()
+            text, spans = batch.column(names.index("text")).to_pylist(), batch.column(names.index(own)).to_pylist()
             for k, s in enumerate(spans):
                 if s and text[k]:
                     raw = text[k].encode("utf-8", "surrogatepass")
                     text[k] = _kept(raw, whole_characters(raw, merged(s))).decode("utf-8", "surrogatepass")
-            columns = {n: batch.column(i) for i, n in enumerate(names) if n not in ("text", "spans")}
+            columns = {n: batch.column(i) for i, n in enumerate(names) if n not in ("text", own)}
             yield pa.RecordBatch.from_pydict({n: pa.array(text, pa.string()) if n == "text" else columns[n] for n in docs_columns})
 
-    docs_columns = docs.columns
-    rows = _with_spans(docs, length, docs_columns).select(*docs_columns, "spans")
+    docs_columns, own = docs.columns, unused("spans", docs)
+    rows = _with_spans(docs, length, docs_columns, own)
     out = rows.mapInArrow(run, docs.schema)
     if "n_chars" in others:
         kind = dict(docs.dtypes)["n_chars"]

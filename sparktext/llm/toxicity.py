@@ -128,6 +128,7 @@ class Scorer:
         return float((w @ self.m.labels[rows] + self.m.base) / (w.sum() + 1))
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
+        """Score, and the three nearest examples with their cosines: of the text alone, so that an example, too, meets itself."""
         counts = self.counts(text)
         if not counts:
             return self.m.base, [], []
@@ -142,9 +143,9 @@ class Scorer:
 def isotonic(votes: np.ndarray, labels: np.ndarray) -> list[tuple[float, float]]:
     """Pools adjacent violators: (least vote, rate of label 1) of steps that rise; each step's rate is smoothed by one example of each label."""
     steps: list[list[float]] = []
-    for v in np.unique(votes):
-        at = votes == v
-        steps.append([v, labels[at].sum(), at.sum()])
+    values, at = np.unique(votes, return_inverse=True)
+    for v, ones, n in zip(values.tolist(), np.bincount(at, labels, len(values)).tolist(), np.bincount(at, minlength=len(values)).tolist()):
+        steps.append([v, ones, n])
         while len(steps) > 1 and steps[-2][1] * steps[-1][2] >= steps[-1][1] * steps[-2][2]:
             _, ones, n = steps.pop()
             steps[-1][1] += ones
@@ -220,31 +221,49 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 20_000, most_fe
         weights += [x / norm for x in w]
         starts.append(len(columns))
     model = ToxicityModel(features, idf, np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64), np.array(starts, np.int64), np.array(columns, np.int64), np.array(weights), float(base), k)
-    scorer = Scorer(model)
-    votes = np.array([scorer.vote(*scorer.nearest(tuple(sorted(zip(f, n))), i)) for i, (_, _, f, n) in enumerate(rows)])
-    model.curve = isotonic(votes, model.labels) if len(rows) else []
+    if rows:
+        # an example's counts, from which its own vote is kept, are votes of executors
+        spark = docs.sparkSession
+        shared = spark.sparkContext.broadcast((model, [tuple(sorted(zip(f, n))) for _, _, f, n in rows]))  # bounded, as above
+
+        def vote(batch: pa.RecordBatch) -> pa.RecordBatch:
+            scorer = Scorer.of(shared.value[0])
+            return batch_of(row=batch.column(0), vote=pa.array([scorer.vote(*scorer.nearest(shared.value[1][i], i)) for i in batch.column(0).to_pylist()], pa.float64()))
+
+        votes = np.zeros(len(rows))
+        for r in map_batches(spark.range(len(rows)), vote, "row long, vote double").collect():
+            votes[r.row] = r.vote
+        model.curve = isotonic(votes, model.labels)
+        model.key = uuid.uuid4().hex  # workers keep scorers by key; that one has no curve
     return model
 
 
-def score(docs: DataFrame, model: ToxicityModel, keep: bool = False) -> DataFrame:
+def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """doc_id, score, predicted (1 from 0.5 on), evidence (ids of the nearest examples), likeness (their cosines), for every whole text.
 
-    Null, empty and featureless texts get the rate among such examples. keep: the columns of docs come along (but for those
-    named as the scores), instead of doc_id alone.
+    Null, empty and featureless texts get the rate among such examples.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by most_examples and most_features
-    scores = "score double, predicted int, evidence array<long>, likeness array<double>"
-    rows = docs if keep else as_docs(docs, "text")
-    others = [c for c in rows.columns if c not in ("score", "predicted", "evidence", "likeness")] if keep else ["doc_id"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         scorer = Scorer.of(shared.value)
-        found = [scorer.score(t) for t in batch.column(batch.schema.names.index("text")).to_pylist()]
+        found = [scorer.score(t) for t in batch.column(1).to_pylist()]
         values = [r[0] for r in found]
         return batch_of(
-            **{c: batch.column(batch.schema.names.index(c)) for c in others}, score=pa.array(values, pa.float64()), predicted=pa.array([int(s >= 0.5) for s in values], pa.int32()),
+            doc_id=batch.column(0), score=pa.array(values, pa.float64()), predicted=pa.array([int(s >= 0.5) for s in values], pa.int32()),
             evidence=pa.array([r[1] for r in found], pa.list_(pa.int64())), likeness=pa.array([r[2] for r in found], pa.list_(pa.float64())),
         )
 
-    kinds = dict(rows.dtypes)
-    return map_batches(rows, run, ", ".join([*(f"`{c}` {kinds[c]}" for c in others), scores]))
+    return map_batches(as_docs(docs, "text"), run, "doc_id long, score double, predicted int, evidence array<long>, likeness array<double>")
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """Those rows of docs, all their columns, that score below 0.5."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        scorer = Scorer.of(shared.value)
+        return batch.filter(pa.array([scorer.score(t)[0] < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
