@@ -8,20 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktext.llm import bpe, decontaminate, minhash, suffix, toxicity
-from sparktext.llm.common import table, written
+from sparktext.llm.common import table, unused, written
 from sparktext.llm.queries import vocabulary
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled examples don't call toxic. All labels may teach."""
-    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=True)
-    return scored.where("predicted = 0").select(*docs.columns)
+    return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (a similarity of 0.8 or more), the document with the smallest doc_id."""
-    gone = minhash.near_duplicates(docs, percent=80).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = unused("gone", docs)
+    copies = minhash.near_duplicates(docs, percent=80).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(copies, docs["doc_id"] == F.col(gone), "left_anti")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

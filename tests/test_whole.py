@@ -1,13 +1,10 @@
-"""Queries and operators over the whole of their job: nothing of a text, an alphabet or a template is left out."""
+"""Queries and operators over the whole of their job: nothing of a text is left out."""
 
 from __future__ import annotations
 
-import random
-
 import duckdb
 import pytest
 
-from sparktext.llm import langid, licenses, queries
 from sparktext.plans import catalog
 
 
@@ -21,82 +18,6 @@ def test_classifiers_read_whole_documents(spark, tmp_path, name):
     assert said == want
 
 
-# language identification
-
-
-def _naive_phrases(text: str, own: str) -> int:
-    n, i = 0, 0
-    while i < len(text):
-        j = i
-        while j < len(text) and text[i : j + 1] in own:
-            j += 1
-        i, n = max(j, i + 1), n + 1
-    return n
-
-
-def test_phrases_over_large_alphabets():
-    rng = random.Random(4)
-    han = [chr(0x4E00 + i) for i in range(700)]
-    texts = {"ja": "".join(rng.choices(han[300:], k=900)), "zh": "".join(rng.choices(han[:500], k=900)), "el": "".join(rng.choices("αβγδεζηθικλ", k=300))}
-    parser = langid.Parser(langid.LanguageModel(tuple((lang, (t,)) for lang, t in texts.items())))
-    for _ in range(40):
-        asked = "".join(rng.choices(han + list("αβγδabc"), k=60)) + texts["zh"][(a := rng.randrange(800)) : a + 40] + texts["ja"][a : a + 30]
-        assert parser.phrases([asked])[0].tolist() == [_naive_phrases(asked, t) for t in texts.values()]
-    asked = ["".join(texts["zh"][200:240]), "".join(texts["ja"][200:240])]
-    assert parser.predict(asked)[0] == ["zh", "ja"]
-
-
-def test_languages_of_long_documents_alone_have_models(spark):
-    rows = [(i, f"{word} " * 5000, lang) for i, (word, lang) in enumerate([("the cat", "en"), ("der hund", "de"), ("le chien", "fr")])]
-    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert [lang for lang, _ in model.texts] == ["de", "en", "fr"]
-    assert all(sum(map(len, t)) == 10_000 for _, t in model.texts)
-
-
-# licenses
-
-
-def test_full_license_texts_are_found(spark):
-    texts = [t for _, t in licenses.TEXTS]
-    mangled = [" ".join(w for i, w in enumerate(t.split()) if i % 40) for t in texts]  # a word in forty is gone: the drift leaves the band of long texts
-    frame = spark.createDataFrame([(i, f"x = 1\n# {t}\ny = 2") for i, t in enumerate(texts)], "doc_id long, text string")
-    rows = licenses.scan(frame).collect()
-    for i, (name, text) in enumerate(licenses.TEXTS):
-        spans = [(r.coverage, r.stop - r.start) for r in rows if r.doc_id == i and r.license == name]
-        assert any(c == 1.0 and n > 0.97 * len(text.encode()) for c, n in spans), name
-    short = licenses.Scanner.of(licenses.TEMPLATES).scan(mangled[[n for n, _ in licenses.TEXTS].index("MIT")], 0.85)
-    assert [(n, c > 0.95) for n, c, _, _ in short] == [("MIT", True)]
-
-
-@pytest.mark.parametrize("notice", ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3."])
-def test_every_copy_of_a_repeated_notice_is_found(notice):
-    for copies in (2, 3, 7):
-        found = licenses.Scanner.of(licenses.TEMPLATES).scan("some text " + f"{notice} " * copies + "more text", 0.85)
-        n = len(notice) + 1
-        assert [(a, b) for _, _, a, b in found] == [(10 + i * n, 10 + i * n + len(notice) - 1) for i in range(copies)]
-
-
-# pipeline
-
-
-def test_pipeline_takes_near_copies_from_0_8_on(spark):
-    import corpus_pipeline
-
-    rng = random.Random(6)
-    rows = []
-    for k in range(30):
-        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
-        rows.append((2 * k, " ".join(words)))
-        for i in range(rng.choice([1, 3, 4, 5, 6])):  # runs of five with it: five of 196 for each edited word
-            words[20 + 30 * i] = f"x{k}"
-        rows.append((2 * k + 1, " ".join(words)))
-    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(196)} for i, t in rows}
-    likeness = [100 * len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(30)]
-    assert any(80 <= x < 85 for x in likeness) and any(x < 80 for x in likeness)
-    kept = {r.doc_id for r in corpus_pipeline.without_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
-    assert kept == {i for i, _ in rows if i % 2 == 0 or likeness[i // 2] < 80}
-
-
 # queries of the engine
 
 
@@ -123,17 +44,3 @@ def test_expansion_learns_from_documents(spark, tmp_path):
     like = catalog.QUERIES["more_like_every_fiftieth"](spark, sf).collect()
     assert {(r.query_id, r.doc_id) for r in like if r.query_id == 100} == {(100, 150)}
     assert {r.doc_id for r in like if r.query_id == 0} == {50, 300}
-
-
-# fingerprints
-
-
-def test_simhash_query_finds_all_near_fingerprints(spark, sf_dir):
-    rows = queries.op2_simhash(spark, sf_dir).collect()
-    first: dict[int, int] = {}
-    for r in sorted(rows, key=lambda r: r.doc_id):
-        first.setdefault(int(r.fingerprint, 16), r.doc_id)
-    for r in rows:
-        mine = int(r.fingerprint, 16)
-        assert (r.representative, r.links) == (first[mine], sum(0 < (mine ^ p).bit_count() <= 12 for p in first))
-    assert any(r.links for r in rows)
