@@ -94,12 +94,10 @@ def s_types(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Eight characters from each place on, as numbers that compare alike; text must go on for eight more."""
-    out = np.zeros(len(at), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | text[at + k]
-    return out
+def words_at(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Eight characters from each place on, as numbers that compare alike; text must go on for eight."""
+    every = np.ndarray((max(0, len(text) - 7),), ">u8", text, strides=(1,))
+    return every[at].astype(np.uint64)
 
 
 def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
@@ -107,7 +105,7 @@ def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.nda
     out = np.zeros(len(a), np.int64)
     open_ = np.arange(len(a))
     for o in range(0, depth, 8):
-        x = _words(text, a[open_] + o) ^ _words(text, b[open_] + o)
+        x = words_at(text, a[open_] + o) ^ words_at(text, b[open_] + o)
         same = x == 0
         top = x[~same]
         _, e = np.frexp(top.astype(np.float64))
@@ -148,7 +146,7 @@ def sort_lms(text: np.ndarray, padded: np.ndarray, lms: np.ndarray, depth: int)
     rank = np.zeros(m, np.int64)
     items, o = np.arange(m), 0
     while len(items):
-        key = _words(padded, lms[items] + o)
+        key = words_at(padded, lms[items] + o)
         have = np.clip(size[items] - o, 0, 8)
         # beyond its end, a substring is greater than any that goes on
         key |= np.where(have < 8, (np.uint64(1) << (8 * (8 - np.maximum(have, 1))).astype(np.uint64)) - np.uint64(1), np.uint64(0))

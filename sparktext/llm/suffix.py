@@ -22,8 +22,8 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_docs, scratch, shared_dir, trim, unused, written
-from .induced import sorted_suffixes
+from .common import as_docs, mix64, scratch, shared_dir, trim, unused, written
+from .induced import sorted_suffixes, words_at
 
 PART = 12
 LAST = (1 << 63) - 1  # a null doc_id is after all others
@@ -159,9 +159,9 @@ class _Blob:
     def hashes_at(self, at: np.ndarray, size: int) -> np.ndarray:
         """Hashes of size bytes from each place on."""
         data, key = np.frombuffer(self.raw, np.uint8), np.zeros(len(at), np.uint64)
-        for k in range(size):
-            key = key * np.uint64(0x9E3779B97F4A7C15) + data[at + k]
-        return key ^ (key >> np.uint64(29))
+        for k in [*range(0, size - 8, 8), size - 8]:
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + words_at(data, at + k))
+        return key
 
 
 def _shared(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
