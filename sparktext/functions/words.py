@@ -68,9 +68,8 @@ class Tokenizer:
         return found if self.keep_single else F.filter(found, lambda x: F.length(x) >= 2)
 
     def normal(self, term: Column) -> Column:
-        if self.fold_diacritics:
-            term = fold(term)
-        term = F.lower(F.translate(term, "İ", "i"))
+        whole = F.lower(F.translate(fold(term) if self.fold_diacritics else term, "İ", "i"))
+        term = F.when(_is_ascii(term), F.lower(term)).otherwise(whole)
         if self.possessive:
             term = F.regexp_replace(term, "['’]s$", "")
         return term
@@ -78,6 +77,8 @@ class Tokenizer:
     def terms(self, text: Column) -> Column:
         """array<string>, in order; an empty array for null."""
         out = F.transform(self.slices(text), self.normal)
+        if not self.possessive:  # then lowering is all that such texts need, and whole texts are lowered at once
+            out = F.when(_is_ascii(text), self.slices(F.lower(text))).otherwise(out)
         if self.stop_words:
             out = F.filter(out, lambda x: ~x.isin(*self.stop_words))
         out = F.filter(out, lambda x: x != "")
@@ -89,6 +90,10 @@ class Tokenizer:
         return out
 
 
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 @lru_cache
 def _folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """(characters, their bases, [(character, several)]) under compatibility decomposition without marks."""
