@@ -78,6 +78,10 @@ class TextIndex:
     def field_postings(self) -> DataFrame:
         return self.field_terms.select("doc_id", "field", "len", F.explode("terms").alias("term")).groupBy("doc_id", "field", "len", "term").agg(F.count("*").alias("tf"))
 
+    def field_vocabulary(self, field: str) -> DataFrame:
+        """term, df, cf of one field."""
+        return self.field_postings.where(F.col("field") == field).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
     def candidates(self, terms: list[str]) -> DataFrame:
         """Documents with any of the terms."""
         return self.terms.where(F.arrays_overlap("terms", F.array(*map(F.lit, terms)))).select("doc_id")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .index import TextIndex
-from .scoring import Scorer, bm25, score
+from .scoring import Scorer, bm25, bm25_f, bm25_f_scoped, score
 
 MOST_EXPANSIONS, MOST_ATOMS = 64, 32
 
@@ -146,28 +146,41 @@ def gate(index: TextIndex, q: Query, expanded: dict[Atom, list[str]] | None = No
     docs = index.terms.where(reduce(lambda a, b: a & b, conditions, F.lit(True))).select("doc_id")
     scoped = [(f, F.array_contains(terms, t), True) for f, t in q.required if f] + [(f, F.array_contains(terms, t), False) for f, t in q.prohibited if f]
     scoped += [(p.field, has_phrase(terms, p.terms), True) for p in q.phrases if p.field] + [(p.field, has_phrase(terms, p.terms), False) for p in q.prohibited_phrases if p.field]
+    for a, found in (expanded or {}).items():
+        if a.sign and a.field:
+            scoped.append((a.field, F.arrays_overlap(terms, F.array(*map(F.lit, found)).cast("array<string>")) if found else F.lit(False), a.sign != "-"))
     for f, condition, wanted in scoped:
         has = index.field_terms.where((F.col("field") == f) & condition).select("doc_id")
         docs = docs.join(has, "doc_id", "left_semi" if wanted else "left_anti")
     return docs
 
 
-def search(index: TextIndex, text: str, scorer: Scorer | None = None, syntax: bool = True, fuzzy_only_unknown: bool = False) -> DataFrame:
-    """doc_id, score of all documents that match a query with its operators; a query that only prohibits scores the rest 1."""
+def search(index: TextIndex, text: str, scorer: Scorer | None = None, syntax: bool = True, fuzzy_only_unknown: bool = False, field_weights: dict[str, float] | None = None) -> DataFrame:
+    """doc_id, score of all documents that match a query with its operators; a query that only prohibits scores the rest 1.
+
+    Terms with a scope are sought, expanded and scored in their field alone, by BM25F with field_weights (1 where not given).
+    Other terms, too, are scored over the fields if there are field_weights and no scorer.
+    """
     q = parse(text, index.fields, syntax)
     expanded: dict[Atom, list[str]] = {}
-    if q.atoms:
-        vocabulary = index.vocabulary
-        for a in dict.fromkeys(q.atoms):
-            found = expand_prefix(vocabulary, a.base) if a.prefix else expand_fuzzy(vocabulary, a.base, a.edits, only_unknown=fuzzy_only_unknown)
-            expanded[a] = [r.term for r in found.collect()]  # 64 at most
+    for a in dict.fromkeys(q.atoms):
+        vocabulary = index.field_vocabulary(a.field) if a.field else index.vocabulary
+        found = expand_prefix(vocabulary, a.base) if a.prefix else expand_fuzzy(vocabulary, a.base, a.edits, only_unknown=fuzzy_only_unknown)
+        expanded[a] = [r.term for r in found.collect()]  # 64 at most
     passed = gate(index, q, expanded)
     if q.pure_negative:
         return passed.withColumn("score", F.lit(1.0))
-    words = list(dict.fromkeys([*q.terms, *(t for a, found in expanded.items() if a.sign != "-" for t in found)]))
+    words = list(dict.fromkeys([*q.terms, *(t for a, found in expanded.items() if a.sign != "-" and not a.field for t in found)]))
+    scoped = list(dict.fromkeys([*q.scoped, *((p.field, t) for p in q.phrases if p.field for t in p.terms), *((a.field, t) for a, found in expanded.items() if a.sign != "-" and a.field for t in found)]))
     spark = index.documents.sparkSession
     terms = spark.createDataFrame([(0, t, 1, len(words)) for t in words], "query_id int, term string, qtf int, qlen int")
-    hits = score(index, terms, scorer or bm25(), terms=terms)
+    over_fields = field_weights and scorer is None
+    hits = (bm25_f(index, None, field_weights, terms=terms) if over_fields else score(index, terms, scorer or bm25(), terms=terms)).select("doc_id", "score")
+    if scoped:
+        pairs = spark.createDataFrame([(0, f, t) for f, t in scoped], "query_id int, field string, term string")
+        weights = {f: 1.0 for f in index.fields} | (field_weights or {})
+        in_fields = bm25_f_scoped(index, pairs, weights).select("doc_id", "score")
+        hits = hits.unionByName(in_fields).groupBy("doc_id").agg(F.sum("score").alias("score")) if words else in_fields
     return hits.join(passed, "doc_id", "left_semi").select("doc_id", "score")
 
 

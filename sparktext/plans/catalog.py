@@ -183,7 +183,7 @@ def _(spark, sf_dir):
     return scoring.window_bm25(documents_index(spark, sf_dir), literal_queries(spark, *_WINDOWED)).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-_PART_QUERIES = ("brass steel", "large polished tin", "brand#12 copper")
+_PART_QUERIES = ("small red ring", "large blue gear", "brand#12 hot bolt")
 _PART_TERMS = _TERMS.replace("text", "txt")
 _PARTS = f"""t AS (SELECT p_partkey AS doc_id, field, {_PART_TERMS} AS toks FROM (SELECT p_partkey, 'p_name' AS field, p_name AS txt FROM part UNION ALL SELECT p_partkey, 'p_brand', p_brand FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part)),
     l AS (SELECT doc_id, field, len(toks)::DOUBLE AS len FROM t), a AS (SELECT field, avg(len) AS avg FROM l GROUP BY field),
@@ -196,11 +196,15 @@ def parts_index(spark, sf_dir) -> TextIndex:
     return TextIndex(read(spark, sf_dir, "part"), id="p_partkey", text="p_name", fields=tuple(_WEIGHTS))
 
 
+_PART_WEIGHT = "(CASE field WHEN 'p_name' THEN 2.0::DOUBLE WHEN 'p_brand' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END)"
+
+
 def _bm25f_sql(condition: str = "true") -> str:
+    """A term's weighted frequency t, each field's by its length, saturates against k1, by the weighted length d of the fields with the term over that of all (here: all that the condition leaves)."""
     return f"""WITH {_PARTS}, {literal(*_PART_QUERIES)},
-    tt AS (SELECT doc_id, term, sum((CASE field WHEN 'p_name' THEN 2.0::DOUBLE WHEN 'p_brand' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) * tf / (0.25::DOUBLE + 0.75::DOUBLE * len / avg)) AS t FROM p JOIN l USING (doc_id, field) JOIN a USING (field) WHERE {condition} GROUP BY ALL),
-    v AS (SELECT term, count(*)::DOUBLE AS df FROM tt GROUP BY term),
-    r AS (SELECT query_id, doc_id, round(sum({IDF} * t * 2.2::DOUBLE / (t + 1.2::DOUBLE)), 6) AS score FROM q JOIN tt USING (term) JOIN v USING (term) CROSS JOIN s GROUP BY ALL)
+    tt AS (SELECT doc_id, term, sum({_PART_WEIGHT} * tf / (0.25::DOUBLE + 0.75::DOUBLE * len / avg)) AS t, sum({_PART_WEIGHT} * len) AS d FROM p JOIN l USING (doc_id, field) JOIN a USING (field) WHERE {condition} GROUP BY ALL),
+    v AS (SELECT term, count(*)::DOUBLE AS df FROM tt GROUP BY term), z AS (SELECT sum({_PART_WEIGHT} * avg) AS base FROM a WHERE {condition}),
+    r AS (SELECT query_id, doc_id, round(sum({IDF} * t * 2.2::DOUBLE / (1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * d / base) + t)), 6) AS score FROM q JOIN tt USING (term) JOIN v USING (term) CROSS JOIN s CROSS JOIN z GROUP BY ALL)
     SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10"""
 
 
@@ -239,11 +243,13 @@ def _(spark, sf_dir):
 
 
 @register("score_ties", f"""WITH {TOKENS}, {BENCH}, r AS (SELECT query_id, doc_id, round(sum({bm25_sql()}), 2) AS score FROM q JOIN p USING (term) JOIN v USING (term) JOIN dl USING (doc_id) CROSS JOIN s GROUP BY ALL),
-    e AS (SELECT query_id, score, count(*) AS size FROM r WHERE score <> 0 GROUP BY ALL), w AS (SELECT *, sum(size) OVER (PARTITION BY query_id ORDER BY score DESC) AS upto FROM e)
-    SELECT query_id, sum(size)::BIGINT AS results, count(*) AS distinct_scores, max(size)::BIGINT AS largest_tie, bool_or(upto > 10 AND upto - size < 10) AS cut_straddled FROM w GROUP BY query_id""")
+    o AS (SELECT query_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) <= 10 AS on_page FROM r WHERE score <> 0),
+    e AS (SELECT query_id, score, count(*) AS size, count(*) FILTER (on_page) AS shown FROM o GROUP BY ALL),
+    w AS (SELECT query_id, sum(size)::BIGINT AS results, count(*) AS distinct_scores, max(size)::BIGINT AS largest_tie, bool_or(shown > 0 AND size > shown) AS cut_straddled, bool_or(shown > 1) AS page_tied FROM e GROUP BY query_id)
+    SELECT *, CASE WHEN results = 1 THEN 'single_result' WHEN distinct_scores = 1 THEN 'no_discrimination' WHEN cut_straddled THEN 'tied_at_cut' WHEN page_tied THEN 'tied_within_page' ELSE 'determined' END AS verdict FROM w""")
 def _(spark, sf_dir):
     hits = scoring.score(documents_index(spark, sf_dir), benchmark_queries(spark, sf_dir), scoring.bm25()).withColumn("score", F.round("score", 2)).where("score <> 0")
-    return scoring.discrimination(hits).drop("verdict")
+    return scoring.discrimination(hits)
 
 
 @register("rare_term_gate", f"""WITH {TOKENS}, {BENCH}, k AS (SELECT query_id, term, df, sum(df) OVER (PARTITION BY query_id ORDER BY df, term ROWS UNBOUNDED PRECEDING) <= 100 AS fits FROM q JOIN v USING (term)), g AS (SELECT *, bool_or(fits) OVER (PARTITION BY query_id) AS has_any FROM k)
@@ -277,11 +283,14 @@ _searched("prefix_search", "licen*", f"WITH {TOKENS}, q AS (SELECT term FROM v W
 _searched("fuzzy_search", "idiat~1", f"WITH {TOKENS}, q AS (SELECT term FROM v WHERE levenshtein(term, 'idiat') <= 1 ORDER BY levenshtein(term, 'idiat'), df DESC, term LIMIT 64) {_EXPANDED}")
 
 
-@register("scoped_search", f"""WITH {_PARTS} SELECT DISTINCT doc_id FROM p WHERE field = 'p_type' AND term = 'brass'
-    AND doc_id NOT IN (SELECT doc_id FROM p WHERE field = 'p_type' AND term = 'small')""")
+@register("scoped_search", f"""WITH {_PARTS}, q AS (SELECT 'p_name' AS field, 'red' AS term UNION SELECT * FROM (SELECT field, term FROM p WHERE field = 'p_name' AND starts_with(term, 'ge') GROUP BY ALL ORDER BY count(*) DESC, term LIMIT 64)),
+    v AS (SELECT field, term, count(*)::DOUBLE AS df FROM p GROUP BY ALL),
+    h AS (SELECT doc_id, {IDF} * (tf / (0.25::DOUBLE + 0.75::DOUBLE * len / avg)) * 2.2::DOUBLE / (1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg) + tf / (0.25::DOUBLE + 0.75::DOUBLE * len / avg)) AS score FROM q JOIN p USING (field, term) JOIN v USING (field, term) JOIN l USING (doc_id, field) JOIN a USING (field) CROSS JOIN s
+        UNION ALL SELECT doc_id, {IDF} * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg)) FROM p JOIN v USING (field, term) JOIN l USING (doc_id, field) JOIN a USING (field) CROSS JOIN s WHERE field = 'p_name' AND term = 'widget')
+    SELECT doc_id, round(sum(score), 6) AS score FROM h WHERE doc_id IN (SELECT doc_id FROM p WHERE field = 'p_name' AND term = 'red')
+    AND doc_id NOT IN (SELECT doc_id FROM p WHERE field = 'p_type' AND term = 'small') GROUP BY doc_id""")
 def _(spark, sf_dir):
-    index = parts_index(spark, sf_dir)
-    return query.gate(index, query.parse("+p_type:brass -p_type:small", index.fields))
+    return query.search(parts_index(spark, sf_dir), "+p_name:red -p_type:small p_name:ge* widget").select("doc_id", F.round("score", 6).alias("score"))
 
 
 def _filter(name: str, condition: Callable[[], F.Column], sql: str):
@@ -923,10 +932,13 @@ def _(spark, sf_dir):
     return classify.class_specific(train, held, 2.0).withColumn("probability", F.round("probability", 6))
 
 
-@register("held_out_split", "SELECT lang, count(*) AS documents FROM documents GROUP BY lang")
+#: By a polynomial over GF(2): CRC-32 of the id's digits, bit by bit.
+_CRC = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, x: list_reduce(list_prepend(xor(c, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END))"
+
+
+@register("held_out_split", f"SELECT doc_id, xor({_CRC}, 4294967295::BIGINT) % 1000 < 250 AS held_out FROM documents")
 def _(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").withColumn("out", evaluate.held_out(F.col("doc_id"), 0.25))
-    return docs.where("out").unionByName(docs.where("NOT out")).groupBy("lang").agg(F.count("*").alias("documents"))
+    return read(spark, sf_dir, "documents").select("doc_id", evaluate.held_out(F.col("doc_id"), 0.25).alias("held_out"))
 
 
 @register("confusion", """SELECT quality AS actual, toxic AS predicted, count(*) AS count FROM labels GROUP BY ALL""")

@@ -46,7 +46,7 @@ class SearchIndex:
             one = self.documents.sparkSession.createDataFrame([(0, self._widened(text))], "query_id long, text string")
             hits = scoring.bm25_f(self.index, one, self.field_weights).select("doc_id", "score")
         else:
-            hits = query.search(self.index, self._widened(text), self.scorer)
+            hits = query.search(self.index, self._widened(text), None if self.field_weights else self.scorer, field_weights=self.field_weights)
         if where is not None:
             hits = hits.join(self.documents.where(where).select(F.col(self.id).alias("doc_id")), "doc_id", "left_semi")
         return hits

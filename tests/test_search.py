@@ -167,3 +167,31 @@ def test_vectors(spark):
 def test_folding_option(spark):
     docs = spark.createDataFrame([(1, "été")], "doc_id long, text string")
     assert TextIndex(docs, tokenizer=Tokenizer(fold_diacritics=False)).vocabulary.first().term == "été"
+
+
+def test_scoped_terms_stay_in_their_field(spark):
+    rows = [(1, "red gear", "plain"), (2, "plain gear", "red"), (3, "redder", "red red"), (4, "blue", "reddish green")]
+    index = TextIndex(spark.createDataFrame(rows, "doc_id long, title string, text string"), fields=("title", "text"))
+
+    def found(text):
+        return {r.doc_id: r.score for r in query.search(index, text).collect()}
+
+    assert found("title:red").keys() == {1}
+    assert found("title:red*").keys() == {1, 3}
+    assert found("+title:red gear").keys() == {1} and found("+title:gear* gear").keys() == {1, 2}
+    assert found("text:red -title:red*").keys() == {2}
+    assert found("-title:red*").keys() == {2, 4}
+    # one term in one field: no other document's or field's length counts
+    n, df, tf, length, average = 4, 2, 2, 2, 1.5
+    corrected = tf / (0.25 + 0.75 * length / average)
+    want = math.log(1 + (n - df + 0.5) / (df + 0.5)) * corrected * 2.2 / (1.2 * (0.25 + 0.75 * length / average) + corrected)
+    assert abs(found("text:red")[3] - want) < 1e-9
+
+
+def test_verdicts_of_score_ties(spark):
+    lists = {1: [], 2: [3.0], 3: [2.0, 2.0], 4: [3.0, 2.0, 2.0], 5: [3.0, 3.0, 1.0], 6: [3.0, 2.0, 1.0, 1.0], 7: [2.0, 1.0]}
+    hits = spark.createDataFrame([(q, i, x) for q, xs in lists.items() for i, x in enumerate(xs)], "query_id int, doc_id int, score double")
+    asked = spark.createDataFrame([(q,) for q in lists], "query_id int")
+    got = {r.query_id: r.verdict for r in scoring.discrimination(hits, 2, queries=asked).collect()}
+    assert got == {1: "no_results", 2: "single_result", 3: "no_discrimination", 4: "tied_at_cut", 5: "tied_within_page", 6: "determined", 7: "determined"}
+    assert scoring.discrimination(hits.where("query_id = 7"), 2, complete=False).first().verdict == "cut_unobserved"
