@@ -18,12 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 import xxhash
 
-from .common import U64, WordHashes, as_docs, batch_of, map_batches, shingles, trim, words_of, written
+from .common import U64, WordHashes, among, as_docs, batch_of, map_batches, shingles, trim, words_of, written
 from .pairs import components, within_groups
 
 REGISTERS, BAND = 80, 4
@@ -85,9 +85,11 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _buckets(reps: DataFrame) -> DataFrame:
-    """key, band, id of every band; a bucket's key stands for the band and its registers."""
+    """key, band, id, a (the hub) of the buckets of several members; a bucket's key stands for the band and its registers."""
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("registers", 2 * BAND * b + 1, 2 * BAND)) for b in range(REGISTERS // BAND)))
-    return reps.select("id", F.posexplode(keys).alias("band", "key"))
+    bucket = Window.partitionBy("key")
+    hub = F.min(F.struct(F.xxhash64("id").alias("h"), "id")).over(bucket).getField("id")
+    return reps.select("id", F.posexplode(keys).alias("band", "key")).select("key", "band", "id", hub.alias("a"), F.count("*").over(bucket).alias("size")).where("size > 1").drop("size")
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -98,7 +100,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     wanted = wanted.join(sizes, "hub")
     own = wanted.where("id = hub").select("id", "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     placed = wanted.where("id <> hub").select("id", "hub", F.pmod(F.xxhash64("id"), "parts").alias("part")).unionByName(own)
-    texts = as_docs(docs, "text").join(placed, F.col("doc_id") == F.col("id")).select("hub", "part", "id", "text")
+    texts = among(as_docs(docs, "text"), "doc_id", wanted.select("id"), 2 * pairs.count()).join(placed, F.col("doc_id") == F.col("id")).select("hub", "part", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, mine, seen = None, [], set()
@@ -167,8 +169,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, slack: float = 0.25) ->
     several = full.groupBy("doc_id").agg(F.min("sequence").alias("x"), F.max("sequence").alias("y")).where("x <> y").select("doc_id")
     own = full.join(several, "doc_id", "left_semi").select("doc_id", "sequence").distinct().join(classes.select("sequence", "id"), "sequence")
     own = written(own.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b"))
-    hubs = buckets.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("id").alias("h"), "id")).getField("id").alias("a")).where("size > 1")
-    stars = written(_likely(buckets.join(hubs.select("key", "a"), "key").where("id <> a").select("a", F.col("id").alias("b")).distinct(), reps, percent / 100 - slack))
+    stars = written(_likely(buckets.where("id <> a").select("a", F.col("id").alias("b")).distinct(), reps, percent / 100 - slack))
     links = written(_confirmed(docs, stars, percent)).unionByName(own)
     first = written(components(links))
 

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from sparktext.llm import langid, licenses, queries, simhash
+from sparktext.llm import common, langid, licenses, minhash, queries, simhash
 
 
 # language identification
@@ -99,3 +99,19 @@ def test_simhash_query_finds_all_near_fingerprints(spark, sf_dir):
             mine = int(r.fingerprint, 16)
             assert (r.representative, r.links) == (first[mine], sum(0 < (mine ^ p).bit_count() <= radius for p in first))
     assert any(r.links for r in rows)
+
+
+def test_near_copies_move_only_the_texts_in_question(spark):
+    docs = spark.range(20_000).selectExpr("id - 10000 AS doc_id", "'x' AS text", "1 AS word")
+    ids = spark.range(500).selectExpr("id * 37 - 9000 AS id")
+    found = [r.doc_id for r in common.among(docs, "doc_id", ids, 500).collect()]
+    assert {i * 37 - 9000 for i in range(500)} <= set(found) and len(found) == len(set(found)) < 500 + 19_500 / 10
+    assert common.among(docs, "doc_id", ids, 500, most_words=1).count() == 20_000
+    assert common.among(docs, "doc_id", ids.where("false"), 0).count() == 0
+
+
+def test_near_copies_keep_only_buckets_of_several(spark):
+    rows = [(i, r, 1) for i, r in enumerate([b"a" * 160, b"a" * 152 + b"b" * 8, b"c" * 160])]
+    found = minhash._buckets(spark.createDataFrame(rows, "id long, registers binary, n int")).collect()
+    assert sorted((r.band, r.id) for r in found) == [(b, i) for b in range(19) for i in (0, 1)]
+    assert len({r.key for r in found}) == 19 and len({r.a for r in found}) == 1 and found[0].a in (0, 1)
