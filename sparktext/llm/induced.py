@@ -79,9 +79,16 @@ class Queues:
         return parts[0] if len(parts) == 1 else (np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts]))
 
     def all(self, c: int, backwards: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Chunks in order, about a block of them at once; backwards, the last block comes first."""
         order = range(self.count(c))
+        parts, n = [], 0
         for k in reversed(order) if backwards else order:
-            yield self._chunk(c, k)
+            parts.append(self._chunk(c, k))
+            n += len(parts[-1][0])
+            if n >= BLOCK or k == (0 if backwards else len(order) - 1):
+                at, lcp = zip(*(reversed(parts) if backwards else parts))
+                yield (np.concatenate(at), np.concatenate(lcp)) if len(parts) > 1 else parts[0]
+                parts, n = [], 0
 
 
 def s_types(text: np.ndarray) -> np.ndarray:
@@ -153,12 +160,12 @@ def sort_lms(text: np.ndarray, padded: np.ndarray, lms: np.ndarray, depth: int)
         key[have == 0] = np.iinfo(np.uint64).max
         _regroup(rank, items, key)
         o += 8
-        items = _tied(rank, size > o)
+        items = _tied(rank, size > o, items)
     h = 1
     while True:
         ends = np.minimum(np.arange(m) + h, m)
         reach = np.concatenate([lms, [len(text) + depth]])[ends] - lms
-        items = _tied(rank, reach < depth + 1)
+        items = _tied(rank, reach < depth + 1, np.arange(m) if h == 1 else items)
         if not len(items):
             break
         beyond = np.concatenate([rank, [-1]])[ends[items]]
@@ -167,11 +174,14 @@ def sort_lms(text: np.ndarray, padded: np.ndarray, lms: np.ndarray, depth: int)
     return lms[np.argsort(rank, kind="stable")]
 
 
-def _tied(rank: np.ndarray, wants: np.ndarray) -> np.ndarray:
-    """Items of groups of several with one that wants more."""
-    n = np.bincount(rank, minlength=len(rank))
-    w = np.bincount(rank[wants], minlength=len(rank))
-    return np.flatnonzero((n[rank] > 1) & (w[rank] > 0))
+def _tied(rank: np.ndarray, wants: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Items, among whole groups, of groups of several with one that wants more."""
+    r = rank[among]
+    several = np.bincount(r, minlength=len(rank))[r] > 1
+    among, r = among[several], r[several]
+    more = np.zeros(len(rank), bool)
+    more[r[wants[among]]] = True
+    return among[more[r]]
 
 
 class _Pass:

@@ -30,6 +30,7 @@ LAST = (1 << 63) - 1  # a null doc_id is after all others
 SEVERAL = 255
 _READY = b"\xff" * 8  # no compressed blob begins like this
 _SPREAD = np.uint32(0x85EBCA6B)
+_STRETCH = 1 << 18
 
 
 def _finished(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -50,7 +51,20 @@ def _halves(w: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fragments of documents that begin at starts (and end there, last of all) in data: (document, place, size, offset of the key's part, or SEVERAL, hash of the key)."""
+    """Fragments of documents that begin at starts (and end there, last of all) in data: (document, place, size, offset of the key's part, or SEVERAL, hash of the key).
+
+    Some documents are taken at a time, so that arrays, which are many times as large as their texts, are small.
+    """
+    parts, a = [], 0
+    while a < len(starts) - 1:
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + _STRETCH, side="right")) - 1)
+        doc, place, *others = _windows_of(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a], length)
+        parts.append((doc + a, place + starts[a], *others))
+        a = b
+    return tuple(map(np.concatenate, zip(*parts)))
+
+
+def _windows_of(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     parts = len(data) - PART + 1
     none = np.zeros(0, np.int64)
     if len(data) < length:
@@ -119,11 +133,8 @@ def _from_planes(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _gather(data: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    if not len(at):
-        return data[:0]
-    begin = np.cumsum(sizes) - sizes
-    return data[np.repeat(at - begin, sizes) + np.arange(int(sizes.sum()))]
+def _gather(raw: bytes, at: np.ndarray, sizes: np.ndarray) -> bytes:
+    return b"".join([raw[a:b] for a, b in zip(at.tolist(), (at + sizes).tolist())])
 
 
 class _Blob:
@@ -210,11 +221,11 @@ def _candidates(blobs: list[bytes], length: int) -> np.ndarray:
     return found
 
 
-def _repeated(data: np.ndarray, doc: np.ndarray, place: np.ndarray, size: np.ndarray, key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+def _repeated(raw: bytes, doc: np.ndarray, place: np.ndarray, size: np.ndarray, key: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Whether a document of a smaller id has a fragment with the same bytes."""
     out = np.zeros(len(key), bool)
     at = np.flatnonzero(_shared(key.astype(np.uint64) << np.uint64(32) | size.astype(np.uint64), ids[doc]))
-    raw, first, same = data.tobytes(), {}, []
+    first, same = {}, []
     for a, b, i in zip(place[at].tolist(), (place + size)[at].tolist(), ids[doc[at]].tolist()):
         fragment = raw[a:b]
         same.append(fragment)
@@ -273,16 +284,11 @@ def _shard(blobs: list[bytes], length: int, folder: tuple[FileSystem, str] | Non
     sizes = np.fromiter(map(len, fragments), np.int64, len(fragments))
     first = np.full(len(fragments), len(known), np.int32)
     np.minimum.at(first, which, rank.astype(np.int32))
-    # each fragment, its bytes raised by 2, and a 1; then the only 0
+    # each fragment, its bytes raised by 2, and a 1; then the only 0 (255 and 254 are no bytes of UTF-8, and become these)
     begins = np.cumsum(sizes + 1) - sizes - 1
-    total = int((sizes + 1).sum()) + 1
-    text = np.ones(total, np.uint8)
-    inside = np.ones(total, bool)
-    inside[begins + sizes] = False
-    inside[-1] = False
-    text[inside] = np.frombuffer(b"".join(fragments), np.uint8) + np.uint8(2)
-    text[-1] = 0
-    del fragments, inside
+    text = np.frombuffer(b"\xff".join([*fragments, b"\xfe"]), np.uint8) + np.uint8(2)
+    total = len(text)
+    del fragments
     owner = np.repeat(np.concatenate([first, [len(known)]]).astype(np.int32), np.concatenate([sizes + 1, [1]]))
     least = np.full(total, len(known), np.int32)
     tail, tail_least = np.zeros(0, np.int64), len(known)
@@ -337,12 +343,13 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 6 << 20
     shared = shared_dir(spark)
 
     def pack(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+        raw = b"".join(r[2] for r in rows)
+        data = np.frombuffer(raw, np.uint8)
         starts = np.cumsum([0, *(len(r[2]) for r in rows)])
         ids, hashes = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
         doc, place, size, offset, key = _windows(data, starts, length)
         # of equal fragments of several documents, the first one's is enough for others: the rest of them is repeated as it is
-        ready = _repeated(data, doc, place, size, key, ids)
+        ready = _repeated(raw, doc, place, size, key, ids)
         if ready.any():
             yield pa.RecordBatch.from_pydict({"shard": pa.array([int(ids[0]) % shards], pa.int32()), "blob": pa.array([_spans_of(ids[doc[ready]], hashes[doc[ready]], doc[ready], place[ready] - starts[doc[ready]], size[ready])], pa.binary())})
             doc, place, size, offset, key = (x[~ready] for x in (doc, place, size, offset, key))
@@ -352,7 +359,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, batch_bytes: int = 6 << 20
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             mine = order[cuts[s] : cuts[s + 1]]
             used, index = np.unique(doc[mine], return_inverse=True)
-            blob = _Blob.pack(ids[used], hashes[used], index, place[mine] - starts[doc[mine]], size[mine], offset[mine], key[mine], _gather(data, place[mine], size[mine]).tobytes())
+            blob = _Blob.pack(ids[used], hashes[used], index, place[mine] - starts[doc[mine]], size[mine], offset[mine], key[mine], _gather(raw, place[mine], size[mine]))
             yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "blob": pa.array([blob], pa.binary())})
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
-from sparktext.llm import common, langid, licenses, minhash, queries, simhash
+from sparktext.llm import common, induced, langid, licenses, minhash, queries, simhash, suffix
 
 
 # language identification
@@ -115,3 +117,31 @@ def test_near_copies_keep_only_buckets_of_several(spark):
     found = minhash._buckets(spark.createDataFrame(rows, "id long, registers binary, n int")).collect()
     assert sorted((r.band, r.id) for r in found) == [(b, i) for b in range(19) for i in (0, 1)]
     assert len({r.key for r in found}) == 19 and len({r.a for r in found}) == 1 and found[0].a in (0, 1)
+
+
+# passages
+
+
+def test_fragments_of_a_batch_take_little_memory():
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 40_000, 300)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    data = rng.integers(97, 101, starts[-1]).astype(np.uint8)
+    data[-30_000:] = data[:30_000]
+    tracemalloc.start()
+    found = suffix._windows(data, starts, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(data)  # what is found takes about 2 bytes for one of text, twice while it is joined
+    for want, got in zip(suffix._windows_of(data, starts, 50), found):
+        assert want.dtype == got.dtype and (want == got).all()
+
+
+def test_queues_are_read_in_blocks():
+    queue = induced.Queues(None, 1 << 30, "x")
+    for i in range(1000):
+        queue.push(7, np.arange(200 * i, 200 * i + 200, dtype=np.int32), np.zeros(200, np.uint8))
+    for backwards in (False, True):
+        found = [at for at, _ in queue.all(7, backwards)]
+        assert len(found) == 4 and (np.concatenate(found[::-1] if backwards else found) == np.arange(200_000)).all()
+    assert not list(queue.all(8)) and not list(queue.all(8, True))
