@@ -19,7 +19,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import as_docs, batch_of, map_batches
+from .common import Kept, as_docs, batch_of, map_batches
 
 #: Cut points at which both neighbours are independent of each other: a single space between two characters that are no white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -74,7 +74,7 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
 class Bpe:
     """Encoder and decoder of one vocabulary; kept for the life of a Python worker."""
 
-    _kept: dict[tuple[str, str], Bpe] = {}
+    _kept = Kept()
 
     def __init__(self, path: str, pattern: str):
         ranks = read_ranks(path)
@@ -89,9 +89,7 @@ class Bpe:
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Bpe:
-        if (path, pattern) not in cls._kept:
-            cls._kept[path, pattern] = cls(path, pattern)
-        return cls._kept[path, pattern]
+        return cls._kept.of((path, pattern), lambda: cls(path, pattern))
 
     def _learn(self, parts: list[str]) -> list[str]:
         """Encodes parts that aren't kept yet, each new pre-token of theirs once, all in one call. Returns the new pre-tokens."""

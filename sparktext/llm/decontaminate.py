@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_docs, batch_of, map_batches, unused
+from .common import Kept, as_docs, batch_of, map_batches, unused
 
 _SPACES = {ord(c): " " for c in "\t\n\r\x0b\x0c\x85\xa0"}
 RESULT = "doc_id long, item_id long, distance int, edits_allowed int, start int, stop int"
@@ -61,7 +61,7 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
 class Finder:
     """Pieces of the items of one block. Built once in each Python worker."""
 
-    _kept: dict[str, Finder] = {}
+    _kept = Kept()
 
     def __init__(self, items: list[tuple[int, str]], chars_per_edit: int):
         self.items = [(i, normal(t)) for i, t in items if t]
@@ -82,8 +82,7 @@ class Finder:
     def of(cls, key: str, items: list[tuple[int, str]], chars_per_edit: int) -> Finder:
         if key not in cls._kept:
             cls._kept.clear()
-            cls._kept[key] = cls(items, chars_per_edit)
-        return cls._kept[key]
+        return cls._kept.of(key, lambda: cls(items, chars_per_edit))
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
         """(item_id, distance, edits_allowed, start, stop), the best passage of each item that is there; the first of equals."""

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_docs, batch_of, map_batches
+from .common import Kept, as_docs, batch_of, map_batches
 
 STRETCH = 256
 _LETTER = re.compile(r"[^\W\d_]")
@@ -89,7 +89,7 @@ class LanguageModel:
 class Parser:
     """Tables of a model: built once in each Python worker."""
 
-    _kept: dict[LanguageModel, Parser] = {}
+    _kept = Kept()
 
     def __init__(self, model: LanguageModel, dense: int = 126):
         """Every letter of the labelled text has a class. Each language numbers its own letters, most frequent first: the
@@ -135,9 +135,7 @@ class Parser:
 
     @classmethod
     def of(cls, model: LanguageModel) -> Parser:
-        if model not in cls._kept:
-            cls._kept[model] = cls(model)
-        return cls._kept[model]
+        return cls._kept.of(model, lambda: cls(model))
 
     def classes(self, text: str) -> np.ndarray:
         """A class for each letter (0: one that no labelled text has), and 1 for each run of other characters."""

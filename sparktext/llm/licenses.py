@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, as_docs, batch_of, map_batches, mix64
+from .common import U64, Kept, as_docs, batch_of, map_batches, mix64
 
 K, WINDOW, BAND = 12, 6, 12
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -108,7 +108,7 @@ def align(template: Sequence[bytes], words: Sequence[bytes], shift: int, lo: int
 
 
 class Scanner:
-    _kept: dict[tuple, Scanner] = {}
+    _kept = Kept()
 
     def __init__(self, templates: tuple[tuple[str, str], ...]):
         self.names = [n for n, _ in templates]
@@ -125,9 +125,7 @@ class Scanner:
 
     @classmethod
     def of(cls, templates: tuple[tuple[str, str], ...]) -> Scanner:
-        if templates not in cls._kept:
-            cls._kept[templates] = cls(templates)
-        return cls._kept[templates]
+        return cls._kept.of(templates, lambda: cls(templates))
 
     def passages(self, k: int, words: list[bytes], shift: int, least: float) -> list[tuple[int, int, int]]:
         """(matched, first, last place) of all passages in the band that don't overlap, best first."""

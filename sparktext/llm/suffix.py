@@ -266,12 +266,13 @@ def _shard(blobs: list[bytes], length: int, folder: tuple[FileSystem, str] | Non
     for blob in blobs:
         if blob.startswith(_READY):
             yield from _ready_spans(blob)
-    blobs = [b for b in blobs if not b.startswith(_READY)]
-    if not blobs or not (shared := _candidates(blobs, length)).any():
+    packed = [b for b in blobs if not b.startswith(_READY)]
+    blobs.clear()  # the caller's: they needn't be in memory while suffixes are sorted
+    if not packed or not (shared := _candidates(packed, length)).any():
         return
     fragments: dict[bytes, int] = {}
     at, which, owners, texts, places = 0, [], [], [], []
-    for b in map(_Blob, blobs):
+    for b in map(_Blob, packed):
         mine = np.flatnonzero(shared[at : at + len(b.sizes)])
         at += len(b.sizes)
         raw = b.raw
@@ -279,6 +280,7 @@ def _shard(blobs: list[bytes], length: int, folder: tuple[FileSystem, str] | Non
         owners.append(b.ids[b.docs[mine]])
         texts.append(b.hashes[b.docs[mine]])
         places.append(b.places[mine])
+    del packed, b, raw
     which, owners, texts, places = map(np.concatenate, (which, owners, texts, places))
     known, rank = np.unique(owners, return_inverse=True)
     sizes = np.fromiter(map(len, fragments), np.int64, len(fragments))

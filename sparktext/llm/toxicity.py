@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_docs, batch_of, map_batches
+from .common import Kept, as_docs, batch_of, map_batches
 
 _TO_SPACE = bytes(b if chr(b).isalnum() and b < 128 or b >= 128 or b == 39 else 32 for b in range(256))
 BLOCK = 64
@@ -51,7 +51,7 @@ class ToxicityModel:
 
 
 class Scorer:
-    _kept: dict[str, Scorer] = {}
+    _kept = Kept()
 
     def __init__(self, model: ToxicityModel):
         self.m = model
@@ -72,8 +72,7 @@ class Scorer:
     def of(cls, model: ToxicityModel) -> Scorer:
         if model.key not in cls._kept:
             cls._kept.clear()
-            cls._kept[model.key] = cls(model)
-        return cls._kept[model.key]
+        return cls._kept.of(model.key, lambda: cls(model))
 
     def counts(self, text: str | None) -> tuple[tuple[int, int], ...]:
         """(feature, times) of a text."""

@@ -8,7 +8,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from sparktext.llm import common, induced, langid, licenses, minhash, queries, simhash, suffix
+from sparktext.llm import common, induced, langid, licenses, minhash, queries, simhash, suffix, toxicity
 
 
 # language identification
@@ -145,3 +145,20 @@ def test_queues_are_read_in_blocks():
         found = [at for at, _ in queue.all(7, backwards)]
         assert len(found) == 4 and (np.concatenate(found[::-1] if backwards else found) == np.arange(200_000)).all()
     assert not list(queue.all(8)) and not list(queue.all(8, True))
+
+
+# workers
+
+
+def test_what_other_operators_keep_is_dropped():
+    none = np.zeros(0, np.int64)
+    first, second = (toxicity.ToxicityModel({}, np.zeros(0), none, none, np.zeros(1, np.int64), none, np.zeros(0), 0.1, 15) for _ in range(2))
+    common.trim()
+    kept = toxicity.Scorer.of(first)
+    common.trim()  # the task that asked for it
+    assert toxicity.Scorer.of(first) is kept
+    common.trim()
+    common.trim()  # another operator's task
+    assert not toxicity.Scorer._kept and toxicity.Scorer.of(first) is not kept
+    toxicity.Scorer.of(second)
+    assert list(toxicity.Scorer._kept) == [second.key]
