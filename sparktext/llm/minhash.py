@@ -68,6 +68,23 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return np.clip((same - chance) / (1 - chance), 0, 1)
 
 
+class Sets(dict):
+    """Shingles, and a hash of the words, of texts, kept for those seen lately: a text comes again with each of its hubs."""
+
+    def __init__(self, most_words: int = 1 << 20):
+        super().__init__()
+        self.most, self.held = most_words, 0
+
+    def __missing__(self, text: str | None) -> tuple[np.ndarray, bytes]:
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+        words = words_of(text)
+        self.held += len(words)
+        out = self[text] = shingles(_hashes.of(words)), xxhash.xxh3_128_digest(b" ".join(words))
+        return out
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, sequence (a 128-bit hash of the words), n_shingles, registers (160 bytes) of every whole text."""
 
@@ -104,20 +121,22 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, mine, seen = None, [], set()
+        sets = Sets()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 found = []
                 for hub, part, own_, doc, text in zip(*(c.to_pylist() for c in batch.slice(k, 512).columns)):
                     if (hub, part) != group:
                         group, mine, seen = (hub, part), [], set()
-                    words = words_of(text)
-                    items = shingles(_hashes.of(words))
+                    items, key = sets[text]
                     if own_ == 0:
-                        if (key := xxhash.xxh3_128_digest(b" ".join(words))) not in seen:  # repeated rows teach nothing
+                        if key not in seen:  # repeated rows teach nothing
                             seen.add(key)
                             mine.append(items)
                         continue
                     for set_ in mine:
+                        if 100 * min(len(set_), len(items)) < percent * max(len(set_), len(items)):
+                            continue
                         both = len(np.intersect1d(set_, items, assume_unique=True))
                         if both and 100 * both >= percent * (len(set_) + len(items) - both):
                             found.append((hub, doc))

@@ -162,3 +162,16 @@ def test_what_other_operators_keep_is_dropped():
     assert not toxicity.Scorer._kept and toxicity.Scorer.of(first) is not kept
     toxicity.Scorer.of(second)
     assert list(toxicity.Scorer._kept) == [second.key]
+
+
+def test_texts_of_many_hubs_are_cut_once(spark):
+    words = [f"w{i}" for i in range(200)]
+    texts = {i: " ".join([*words[:60], f"x{i}"]) if i % 2 else " ".join([*words[:12], f"y{i}"]) for i in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    pairs = [(a, b) for a in texts for b in texts if a < b]
+    found = minhash._confirmed(docs, spark.createDataFrame(pairs, "a long, b long"), 85).collect()
+    assert sorted(map(tuple, found)) == [(a, b) for a, b in pairs if a % 2 and b % 2]
+    sets = minhash.Sets(most_words=1000)
+    assert sets[texts[1]][0] is sets[texts[1]][0] and len(sets[None][0]) == 0
+    for i in range(100):
+        assert len(sets[f"{i} {texts[1]}"][0]) == 58 and len(sets) < 20
