@@ -475,25 +475,25 @@ def _nearest_sql(score: str, vectors_: str = _VECTORS) -> str:
 @register("dense_cosine", _nearest_sql(_COSINE))
 def _(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
-    return vectors.dense(v, q).select("query_id", "id", F.round("score", 6).alias("score"))
+    return vectors.dense(v, q, digits=6).select("query_id", "id", "score")
 
 
 @register("dense_l2", _nearest_sql("1 / (1 + sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))))"))
 def _(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
-    return vectors.dense(v, q, metric="l2").select("query_id", "id", F.round("score", 6).alias("score"))
+    return vectors.dense(v, q, metric="l2", digits=6).select("query_id", "id", "score")
 
 
 @register("dense_inner", _nearest_sql("list_dot_product(a.v, b.v)"))
 def _(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
-    return vectors.dense(v, q, metric="inner").select("query_id", "id", F.round("score", 6).alias("score"))
+    return vectors.dense(v, q, metric="inner", digits=6).select("query_id", "id", "score")
 
 
 @register("dense_int8")
 def _(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
-    return vectors.dense(v, q, quantize=True).select("query_id", "id", F.round("score", 6).alias("score"))
+    return vectors.dense(v, q, quantize=True, digits=6).select("query_id", "id", "score")
 
 
 @register("sparse_search", f"""WITH {TOKENS}, {BENCH}, r AS (SELECT query_id, doc_id AS id, round(sum(qtf * tf), 6) AS score FROM q JOIN p USING (term) GROUP BY ALL)
@@ -818,7 +818,7 @@ _KNN = f"""WITH {_VECTORS}, r AS (SELECT a.vec_id AS doc_id, b.label AS category
 def _(spark, sf_dir):
     v, q = _vectors(spark, sf_dir)
     labels = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("category"))
-    near = vectors.dense(v.where("id % 50 <> 0"), q, 5).join(labels, "id").select(F.col("query_id").alias("doc_id"), "category", F.col("id").alias("neighbour"), F.round("score", 9).alias("score"))
+    near = vectors.dense(v.where("id % 50 <> 0"), q, 5, digits=9).join(labels, "id").select(F.col("query_id").alias("doc_id"), "category", F.col("id").alias("neighbour"), "score")
     return classify.neighbour_votes(near, 5).withColumn("probability", F.round("probability", 6))
 
 
