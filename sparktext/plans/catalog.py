@@ -521,11 +521,8 @@ def _(spark, sf_dir):
     SELECT query_id, doc_id, round(sum(best), 6) AS score FROM b GROUP BY ALL""")
 def _(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings")
-    labels = e.select(F.col("label").alias("doc_id")).distinct()
     q = e.where("vec_id % 50 = 0").select(F.col("label").alias("query_id"), F.col("vec_id").alias("part"), F.col("embedding").alias("v"))
-    wanted = q.select("query_id").distinct().crossJoin(labels)  # labels by labels
-    d = e.select(F.col("label").alias("doc_id"), F.col("embedding").alias("v")).join(wanted, "doc_id")
-    return rerank.max_sim(q, d).withColumn("score", F.round("score", 6))
+    return rerank.max_sim(q, e.select(F.col("label").alias("doc_id"), F.col("embedding").alias("v"))).withColumn("score", F.round("score", 6))
 
 
 @register("mmr_rerank")
